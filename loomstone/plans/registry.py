@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from loomstone.plans import problems
-
-MODULES = [problems]
+from loomstone.plans import base, core, problems  # noqa: F401 - importing core registers its queries
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return problems.QUERIES | base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return problems.SQL | base.SQL

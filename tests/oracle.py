@@ -52,6 +52,10 @@ def compare(spark, name: str, query, sql: str, sf_dir: str) -> str:
     want = duck(sf_dir).execute(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} and {sorted(want.column_names)}"
+    kinds = {n: (str(got.schema.field(n).type), str(want.schema.field(n).type)) for n in got.column_names}
+    odd = {n: k for n, (x, y) in kinds.items() if (k := (x, y)) and x != y and not {x, y} <= {"string", "large_string"} and not x.startswith(("list", "struct", "timestamp"))}
+    if odd:
+        print("  types:", name, odd)
     a, b = rows_of(got), rows_of(want)
     if a == b:
         return ""
