@@ -599,7 +599,7 @@ def invalidate_referrers(s: S, d: str) -> D:
 _CALLS = "c AS (SELECT DISTINCT * FROM call_log)"
 
 
-@query(f"WITH {_CALLS} SELECT tool, count(*) AS calls, count_if(NOT ok)::BIGINT AS failed, round(sum(latency_ms), 3) AS total_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 3) AS avg_ms FROM c GROUP BY tool")
+@query(f"WITH {_CALLS} SELECT tool, count(*) AS calls, (count(*) FILTER (WHERE NOT ok)) AS failed, round(sum(latency_ms), 3) AS total_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 3) AS avg_ms FROM c GROUP BY tool")
 def timer_agg(s: S, d: str) -> D:
     return quality.timers(t(s, d, "call_log"))
 
