@@ -16,7 +16,8 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs whose description is the declaration's own."""
-    return p1_pairs(spark, sf).where(F.col("origin") == "own").select("file_id", "start_line").distinct()
+    found = docpairs.described(table(spark, sf, "skim_decls"), table(spark, sf, "symbols"), table(spark, sf, "edges"))
+    return found.where(F.col("origin") == "own").select("file_id", "start_line").distinct()
 
 
 def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
