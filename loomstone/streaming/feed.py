@@ -74,15 +74,19 @@ def deadline(spark: SparkSession, seconds: float, tag: str, job: Callable[[], ob
     """Runs ``job`` and cancels its Spark work after ``seconds``; a cancelled job raises TimeoutError and gives no partial result."""
     import threading
 
-    expired = threading.Event()
-
-    def stop() -> None:
-        expired.set()
-        spark.interruptTag(tag)
-
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, stop)
-    timer.start()
+    sc, done, expired = spark.sparkContext, threading.Event(), threading.Event()
+
+    def watch() -> None:
+        pause = seconds
+        while not done.wait(pause):  # again and again: the query may still be planning its next job
+            expired.set()
+            sc.cancelJobsWithTag(tag)
+            pause = 0.2
+
+    sc.setInterruptOnCancel(True)
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         return job()
     except Exception as e:
@@ -90,5 +94,7 @@ def deadline(spark: SparkSession, seconds: float, tag: str, job: Callable[[], ob
             raise TimeoutError(f"no answer within {seconds} s") from e
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        watcher.join()
+        sc.removeJobTag(tag)
+        sc.setInterruptOnCancel(False)
