@@ -25,3 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomstone-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many tasks as there are cores, for costly per-row work on a scan.
+
+    Only a scan of fewer splits than cores is moved (by a hash of ``keys``), so what is shuffled is at most one
+    split per core; larger scans stay where they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= slots else df.repartition(slots, *keys)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.runtime import spread
+
 _TOKEN = re.compile(
     r'(?P<text>"""(?:\\.|(?!""").)*(?:"""|\Z))|(?P<string>"(?:\\.|[^"\\\r\n])*"?)|(?P<char>\'(?:\\.|[^\'\\\r\n])*\'?)'
     r"|(?P<line>//[^\r\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<ident>[^\W\d][\w$]*|\$[\w$]*)|(?P<number>\d[\w.]*)|(?P<op>::|->|\.\.\.|[-+*/%&|^=<>!]=?|\S)", re.S)
@@ -329,8 +331,8 @@ def _run(texts: Iterator[pd.DataFrame], rows: Callable[[str], list[dict]], colum
 
 def _over(source_files: DataFrame, rows: Callable[[str], list[dict]], schema: str) -> DataFrame:
     columns = [c.strip().split()[0] for c in re.sub(r"<[^<>]*>", "", schema).split(",")]
-    one = source_files.where(F.col("text").isNotNull()).select("file_id", "text").distinct()
-    return one.mapInPandas(lambda it: _run(it, rows, columns), schema)
+    one = source_files.where(F.col("text").isNotNull()).select("file_id", "text")
+    return spread(one, "file_id").mapInPandas(lambda it: _run(it, rows, columns), schema).distinct()
 
 
 _RANGE = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
