@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.plans import base, core, ingest, problems  # noqa: F401 - importing core and ingest registers their queries
+from loomstone.plans import base, core, ingest, more, problems  # noqa: F401 - importing these registers their queries
 
 
 def queries() -> dict:
