@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.fmindex import FMIndex
+from loomstone.runtime import spread
 
 SHARD = 400_000
 WORDS, LETTERS = 8, 20
@@ -230,7 +231,7 @@ def leaks(documents: DataFrame, items: DataFrame, shard: int = SHARD, block: int
             size = 0
         rows[-1].append((r["item_id"], (r["lang"] or "").strip().lower()[:2], r["text"]))
         size += len(r["text"])
-    texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    texts = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id")
     out = None
     for part in rows:
         found = texts.mapInPandas(_finder(part, shard), _FOUND)

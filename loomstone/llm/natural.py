@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import prose
+from loomstone.runtime import spread
 
 
 def _detect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,11 +32,13 @@ def text_languages(units: DataFrame) -> DataFrame:
     """file_id, kind, start_line, start_col, lang, n_chars of every distinct text unit; lang is null where it holds no natural language.
 
     A single Aho-Corasick pass over each undressed span finds the function words of all languages;
-    inverse-language-frequency votes decide, script ranges settle the others. Map-only after the
-    removal of repeats. Null and blank texts get a null lang and their length (0 for null).
+    inverse-language-frequency votes decide, script ranges settle the others. Repeats are removed behind
+    the detection, so texts are not shuffled. Null and blank texts get a null lang and their length (0 for null);
+    rows without a file or place are left out.
     """
-    rows = units.select("file_id", "kind", F.col("range.start_line").alias("start_line"), F.col("range.start_col").alias("start_col"), "text").distinct()
-    return rows.mapInPandas(_detect, "file_id bigint, kind string, start_line int, start_col int, lang string, n_chars bigint")
+    rows = units.select("file_id", "kind", F.col("range.start_line").alias("start_line"), F.col("range.start_col").alias("start_col"), "text").dropna(subset=["file_id", "start_line", "start_col"])
+    found = spread(rows, "file_id", "start_line", "start_col").mapInPandas(_detect, "file_id bigint, kind string, start_line int, start_col int, lang string, n_chars bigint")
+    return found.distinct()
 
 
 def language_shares(units: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.runtime import cut
+from loomstone.runtime import cut, spread
 
 CAPACITY = 8192
 SEGMENTS = 1024
@@ -64,7 +64,7 @@ def items(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     out.append((doc_id, i, len(spans), a, b, b - a, b - a - quoted))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "pieces", "start_byte", "end_byte", "tokens", "loss_tokens"])
 
-    return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(cut_up, _ITEMS)
+    return spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id").mapInPandas(cut_up, _ITEMS)
 
 
 def dot_product_packing(vectors: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def assign(documents: DataFrame, capacity: int = CAPACITY, segments: int = SEGME
         no = dot_product_packing(vectors, np.array([capacity, segments, loss], float))
         return f.assign(container=f["grp"] * (1 << 32) + no).drop(columns="grp")[["container", *[c.split()[0] for c in _ITEMS.split(", ")]]]
 
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).repartition(groups, "grp")  # packing costs more than its few bytes suggest: no coalescing
     return grouped.groupBy("grp").applyInPandas(pack, _PACKED)
 
 

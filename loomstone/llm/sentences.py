@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.runtime import spread
+
 # Abbreviations, without their last full stop, in lower case.
 #: Something always follows these.
 NEVER_LAST = set(
@@ -371,5 +373,5 @@ def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sentence_units(documents: DataFrame) -> DataFrame:
     """doc_id, start_pos, end_pos of every sentence unit. Map-only; null and blank texts have none, a null doc_id no row."""
-    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id")
     return rows.mapInPandas(_split, "doc_id bigint, start_pos bigint, end_pos bigint")
