@@ -125,12 +125,12 @@ class Items:
         return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def _search(items: Items, docs: list[tuple[int, list[str], list[tuple[int, int]], _Plain]]) -> Iterator[tuple]:
-    """(doc_id, item_id, covered, size, spans) of the documents of one shard."""
+def _hits(items: Items, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(which text, patterns, their positions in it) for each of the texts of one shard that holds any."""
     vocabulary: dict[str, int] = {}
     symbols: list[int] = []
     starts = []
-    for _, tokens, _, _ in docs:
+    for tokens in texts:
         starts.append(len(symbols))
         symbols.extend([vocabulary.setdefault(t, len(vocabulary) + 2) for t in tokens])
         symbols.append(1)
@@ -150,21 +150,42 @@ def _search(items: Items, docs: list[tuple[int, list[str], list[tuple[int, int]]
     patterns, at, doc = patterns[order], at[order], doc[order]
     edges = np.flatnonzero(np.diff(doc)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)]):
-        here, pos, d = patterns[a:b], at[a:b], int(doc[a])
-        for i in sorted({i for p in np.unique(here).tolist() for i in items.seeds[p]}):
-            covered = items.covered(i, np.isin(items.places[i], here))
-            if 2 * covered < items.sizes[i]:
-                continue
-            mine = pos[np.isin(here, items.places[i])] - starts[d]
-            doc_id, _, spans, plain = docs[d]
-            merged: list[list[int]] = []
-            for p in mine.tolist():
-                if merged and p <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], p + items.window)
-                else:
-                    merged.append([p, p + items.window])
-            out = [{"start_pos": plain.stored(spans[p][0]), "end_pos": plain.stored(spans[q - 1][1] - 1) + 1} for p, q in merged]
-            yield doc_id, items.ids[i], covered, items.sizes[i], out
+        yield int(doc[a]), patterns[a:b], at[a:b] - starts[doc[a]]
+
+
+def _report(items: Items, doc_id: int, spans: list[tuple[int, int]], plain: _Plain, here: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
+    """(doc_id, item_id, covered, size, spans) of the items that one document holds; ``here`` are the patterns found at ``pos``."""
+    for i in sorted({i for p in np.unique(here).tolist() for i in items.seeds[p]}):
+        covered = items.covered(i, np.isin(items.places[i], here))
+        if 2 * covered < items.sizes[i]:
+            continue
+        merged: list[list[int]] = []
+        for p in pos[np.isin(here, items.places[i])].tolist():
+            if merged and p <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], p + items.window)
+            else:
+                merged.append([p, p + items.window])
+        out = [{"start_pos": plain.stored(spans[p][0]), "end_pos": plain.stored(spans[q - 1][1] - 1) + 1} for p, q in merged]
+        yield doc_id, items.ids[i], covered, items.sizes[i], out
+
+
+def _search(items: Items, docs: list[tuple[int, list[str], list[tuple[int, int]], _Plain]]) -> Iterator[tuple]:
+    """The reports of the documents of one shard."""
+    for d, here, pos in _hits(items, [tokens for _, tokens, _, _ in docs]):
+        doc_id, _, spans, plain = docs[d]
+        yield from _report(items, doc_id, spans, plain, here, pos)
+
+
+def _search_long(items: Items, doc: tuple[int, list[str], list[tuple[int, int]], _Plain], shard: int) -> Iterator[tuple]:
+    """The report of one document larger than a shard: its parts overlap by a window less one token and are indexed one by one."""
+    doc_id, tokens, spans, plain = doc
+    here, pos = [], []
+    for a in range(0, len(tokens), shard):
+        for _, patterns, at in _hits(items, [tokens[a : a + shard + items.window - 1]]):
+            here.append(patterns)
+            pos.append(at + a)
+    if here:
+        yield from _report(items, doc_id, spans, plain, np.concatenate(here), np.concatenate(pos))
 
 
 _FOUND = "doc_id bigint, item_id bigint, covered bigint, size bigint, spans array<struct<start_pos:bigint,end_pos:bigint>>"
@@ -203,7 +224,9 @@ def _finder(rows: list[tuple[int, str, str]], shard: int):
                     if not items.ids or (k and not all_docs and not _CJK.search(text)):
                         continue
                     found = tokens(text)
-                    if len(found[0]) >= items.window:
+                    if len(found[0]) > shard:
+                        yield pd.DataFrame(list(_search_long(items, (doc_id, *found), shard)), columns=_COLUMNS)
+                    elif len(found[0]) >= items.window:
                         held[k].append((doc_id, *found))
                         sizes[k] += len(found[0]) + 1
                         if sizes[k] >= shard:
