@@ -260,3 +260,31 @@ def test_deadline(spark):
     assert feed.deadline(spark, 60, "quick", lambda: spark.range(3).count()) == 3
     with pytest.raises(TimeoutError):
         feed.deadline(spark, 0.5, "slow", lambda: spark.range(0, 10**12, 1, 8).selectExpr("sum(hash(id, id * 2))").collect())
+
+
+REF_EDGES = "src string, dst string, type string, layer string, cause string, occ struct<file_id:bigint,range:struct<start_line:int,start_col:int,end_line:int,end_col:int>,role:string>"
+
+
+def test_references_of_the_known_fixture(spark):
+    def use(src, dst, line, cause=None):
+        return (src, dst, "CALLS", "value", cause, (1, (line, 9, line, 11), "CALL"))
+
+    run = "app/Service#run()."
+    rows = [use("app/ClientA#go().", run, 5), use("app/ClientB#first(Service).", run, 8), use("app/ClientB#second(Service).", run, 12), use("app/Mystery#poke().", "run~UNRESOLVED", 4, "MISSING_CLASSPATH"),
+            use("app/KnownMiss#use(Service).", "run~UNRESOLVED", 6, "UNSOLVED_SYMBOL"), ("app/Service#", run, "CONTAINS", "structural", None, (-1, (-1, -1, -1, -1), "NONE"))]
+    edges = spark.createDataFrame(rows * 2, REF_EDGES)
+    groups = {r["enclosing"]: r["n"] for r in graph.reference_groups(edges).collect()}
+    assert groups == {"app/ClientA#go().": 1, "app/ClientB#first(Service).": 1, "app/ClientB#second(Service).": 1}
+    symbols = spark.createDataFrame([(run, "METHOD", 0, "app/Service#", 2, (3, 1, 3, 9), "run", None)], "moniker string, kind string, flags int, enclosing string, file_id bigint, range struct<start_line:int,start_col:int,end_line:int,end_col:int>, name string, signature string")
+    refs, tail = graph.find_references(edges, symbols, "Service.run")
+    assert refs.count() == 3 and tail.count() == 2
+    assert [tuple(r) for r in graph.reference_counts(edges).collect()] == [(run, 3, 1, 3)]
+    assert graph.reference_groups(edges.limit(0)).count() == 0
+
+
+def test_innermost_over_buckets(spark):
+    ranges = spark.createDataFrame([("outer", 1, 1, 1, 900, 9, 899_000_008), ("inner", 1, 100, 5, 300, 6, 200_000_001), ("line", 1, 200, 1, 200, 50, 49), ("tie", 1, 200, 1, 200, 50, 49), ("other", 2, 1, 1, 9, 9, 8_000_008)],
+                                   "moniker string, file_id bigint, sl int, sc int, el int, ec int, span bigint")
+    points = spark.createDataFrame([(1, 200, 3), (1, 100, 4), (1, 100, 5), (1, 300, 7), (1, 901, 1), (2, 5, 5), (3, 1, 1)], "file_id bigint, line int, col int")
+    got = {(r["file_id"], r["line"], r["col"]): r["enclosing"] for r in graph.innermost(points, ranges, ["file_id", "line", "col"]).collect()}
+    assert got == {(1, 200, 3): "line", (1, 100, 4): "outer", (1, 100, 5): "inner", (1, 300, 7): "outer", (2, 5, 5): "other"}
