@@ -6,6 +6,7 @@ Works on single strings inside Arrow batches; everything here is linear in the t
 from __future__ import annotations
 
 import html
+import unicodedata
 from functools import cache
 
 import ahocorasick
@@ -38,6 +39,8 @@ FUNCTION_WORDS = {
 
 _MOJIBAKE = regex.compile(r"[À-ßà-ô\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
+_SURROGATE = regex.compile("[\ud800-\udfff]")
+_SPACE_ESC, _QUOTE_ESC = regex.compile(r"\\+[nrtf]"), regex.compile(r"\\+([\"'])")
 _UESC = regex.compile(r"\\+u+([0-9A-Fa-f]{4})")
 
 
@@ -65,10 +68,9 @@ def repair(text: str) -> str:
     r"""Escapes, entities and UTF-8 read as Latin text turned back into the characters meant."""
     if "\\" in text:
         text = _UESC.sub(lambda m: chr(int(m[1], 16)), text)
-        if regex.search("[\ud800-\udfff]", text):
+        if _SURROGATE.search(text):
             text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        text = regex.sub(r"\\+[nrtf]", " ", text)
-        text = regex.sub(r"\\+([\"'])", r"\1", text)
+        text = _QUOTE_ESC.sub(r"\1", _SPACE_ESC.sub(" ", text))
     if "&" in text:
         text = html.unescape(text)
     for _ in range(2):  # some texts were damaged twice
@@ -85,6 +87,7 @@ _URL = regex.compile(r"\b(?:[a-z][a-z0-9+.-]{1,12}://|www\.)\S+", regex.I)
 _HEAD = regex.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+(?=\s)|>+)[ \t]*")
 _MARK = regex.compile(r"(?:(?<=^)|(?<=\s))(?:TODO|FIXME|XXX|HACK|NOTE|NOTICE|NOLINT|NOSONAR|BUG|WARNING|TBD)\b(?:\([^)]*\))?:?")
 _TAG = regex.compile(r"(?m)(?:^|(?<=\s))@([A-Za-z][\w.:-]*)")
+_ENDS, _FIRST = regex.compile(r"^\s*/\*+|\*+/\s*$"), regex.compile(r"^\S+")
 _HOLE = regex.compile(r"[(\[]?(?:\{\d*\}|\$\{[^}]*\}|%(?:\d+\$)?[-+#0,]*\d*(?:\.\d+)?[sdfxgn])[)\]]?")
 
 #: Block tags whose first word is a name, and those that carry no running words at all.
@@ -95,7 +98,7 @@ SILENT = {"see", "author", "since", "version", "serial", "serialField", "serialD
 def blocks(text: str) -> list[tuple[str, str]]:
     """(tag, words): the main description (tag '') and each block tag, without marks, markup, links and code."""
     text = repair(text).replace("\r\n", "\n").replace("\r", "\n")
-    text = regex.sub(r"^\s*/\*+|\*+/\s*$", "", text)
+    text = _ENDS.sub("", text)
     text = _CODE.sub(" \u0001 ", text)
     text = _BRACED.sub(" \u0001 ", text)
     text = _HTML.sub(" ", _HEAD.sub("", text))
@@ -111,7 +114,7 @@ def blocks(text: str) -> list[tuple[str, str]]:
             continue
         words = _HOLE.sub(" ", _MARK.sub(" ", words)).strip()
         if tag in NAMED:
-            words = regex.sub(r"^\S+", "", words)
+            words = _FIRST.sub("", words)
         if words:
             done.append((tag, " ".join(words.split())))
     return done
@@ -135,8 +138,6 @@ def words_of(text: str) -> tuple[list[str], int]:
 @cache
 def _automaton():
     """Function words of all languages in one automaton, each also without accents, since many files are plain ASCII."""
-    import unicodedata
-
     table: dict[str, set[str]] = {}
     for lang, words in FUNCTION_WORDS.items():
         for w in words.split():
@@ -152,21 +153,26 @@ def _automaton():
     return a
 
 
-_INNER = regex.compile(r"[\p{L}\p{M}\p{N}_]")
+def _inner(c: str) -> bool:
+    """Whether a character continues a word."""
+    return c.isalnum() or c == "_" or (c > "\u02ff" and unicodedata.category(c)[0] == "M")
 
 
 def votes(text: str) -> dict[str, float]:
     """One pass of the automaton: each function word at word boundaries votes 1 / (languages that have it)."""
-    text, out, n = text.lower(), {}, len(text.lower())
+    text = text.lower()
+    out, n = {}, len(text)
     for end, (length, langs) in _automaton().iter(text):
         start = end + 1 - length
-        if (start and _INNER.match(text[start - 1])) or (end + 1 < n and _INNER.match(text[end + 1])):
+        if (start and _inner(text[start - 1])) or (end + 1 < n and _inner(text[end + 1])):
             continue
         for lang in langs:
             out[lang] = out.get(lang, 0.0) + 1 / len(langs)
     return out
 
 
+_DEVANAGARI, _CYRILLIC = regex.compile(r"\p{Devanagari}"), regex.compile(r"\p{Cyrillic}")
+_PROSELIKE = regex.compile(r"^\W*\p{Lu}\p{Ll}|[\p{Ll}][.!?]$")
 _SCRIPTS = [(k, regex.compile(rf"\p{{{k}}}")) for k in ("Han", "Hiragana", "Katakana", "Thai", "Devanagari", "Cyrillic")]
 _ACCENTS = (("de", regex.compile("[äöüß]")), ("es", regex.compile("[ñ¿¡áíóú]")), ("fr", regex.compile("[éèêëàâçîïôùûœ]")))
 
@@ -187,7 +193,7 @@ def language(text: str, least: int = 3) -> str | None:
     """
     if _SQL.search(text) and not _UNSPACED.search(text):
         return None
-    counts = {k: len(p.findall(text)) for k, p in _SCRIPTS}
+    counts = {k: 0 if text.isascii() else len(p.findall(text)) for k, p in _SCRIPTS}
     kana, han, thai = counts["Hiragana"] + counts["Katakana"], counts["Han"], counts["Thai"]
     if kana + han >= 5 and kana + han >= thai:
         return "ja" if kana else "zh"
@@ -196,12 +202,12 @@ def language(text: str, least: int = 3) -> str | None:
     words, tokens = words_of(text)
     spaced = {"hi": 0, "ru": 0, "": 0}
     for w in words:
-        spaced["hi" if regex.search(r"\p{Devanagari}", w) else "ru" if regex.search(r"\p{Cyrillic}", w) else ""] += 1
+        spaced["" if w.isascii() else "hi" if _DEVANAGARI.search(w) else "ru" if _CYRILLIC.search(w) else ""] += 1
     if max(spaced["hi"], spaced["ru"]) >= least:
         return max(("hi", "ru"), key=lambda k: spaced[k])
     if spaced[""] < least or len(words) < 0.6 * tokens or _CODEISH.search(text) or _SIGNATURE.match(text):
         return None
-    if not any(v > 0 for v in votes(text).values()) and not regex.search(r"^\W*\p{Lu}\p{Ll}|[\p{Ll}][.!?]$", text):
+    if not any(v > 0 for v in votes(text).values()) and not _PROSELIKE.search(text):
         return None
     return _latin(text)
 

@@ -34,8 +34,8 @@ BEFORE_ORDINAL = set("am der die das den dem des vom zum zur im beim ab bis seit
 #: Words with which a Hindi or Japanese or Chinese sentence goes on after a quotation.
 HINDI_ON = set("और तो कि लेकिन पर फिर कहा कहकर कहते पूछा बोला बोली बोले लिखा".split())
 
-_EOL = regex.compile(r"\r\n|\n|\r| | |\x85")
-_MARKS = regex.compile(r"[ \t ]*(?:(?:>+|//+[/!]?|#!|--(?= )|%%?(?= )|;;+)[ \t]*|(?<=[ \t])\*+(?=[ \t]|$)[ \t]*)*[ \t 　]*")
+_EOL = regex.compile(r"\r\n|\n|\r|\u2028|\u2029|\x85")
+_MARKS = regex.compile(r"[ \t\u00a0]*(?:(?:>+|//+[/!]?|#!|--(?= )|%%?(?= )|;;+)[ \t]*|(?<=[ \t])\*+(?=[ \t]|$)[ \t]*)*[ \t\u00a0\u3000]*")
 _FENCE = regex.compile(r"(`{3,}|~{3,})")
 _HEADING = regex.compile(r"#{1,6}[ \t]+(?=\S)")
 _RULE = regex.compile(r"(?:=+|-{3,}|\*{3,}|_{3,}|(?:- ){2,}-|(?:\* ){2,}\*)\s*$")
@@ -49,9 +49,16 @@ _TERMINAL = regex.compile(r"(?:\.{2,}|…+|[.!?।॥؟۔‼⁇⁈⁉]|[。！
 _THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+(?!ๆ)(?=\S)|(?<=\S)\s+(?=\p{Thai})(?!ๆ)")
 _LAST_TOKEN = regex.compile(r"[^\s()\[\]«»“”„\"「」『』（）,;:]*$")
 _NEXT_TOKEN = regex.compile(r"[^\s]*")
-_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー　-〿＀-￯]")
+_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\u3000-\u303f\uff00-\uffef]")
 _MARKUP_END = regex.compile(r"(?:\*{1,3}|_{1,2}|`|</\w+>)(?=\s|$)")
 _LOWER_ON = regex.compile(r"[^\p{Lu}.!?]{12,}[.!?]+\s+[^\p{Lu}]{12}")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_DEVANAGARI, _DEVANAGARI_WORD = regex.compile(r"\p{Devanagari}"), regex.compile(r"[\p{Devanagari}\p{M}]+")
+_HAN, _KANA, _CAPITAL = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Lu}")
+_SAYS = regex.compile(r".{0,3}[说道问写答喊]")
+_FUSED_WORD = regex.compile(r"\p{Lu}?[\p{Ll}\p{M}]{2,}$|\d+$")
+_FUSED_NEXT = regex.compile(r"[\"“„«(¿¡]?(?:\p{Lu}\p{Ll}*[\s’',]|\p{Lu}\p{Ll}+-)")
+_HEAD_END = regex.compile(r"\s+#+$")
 _CAMEL = regex.compile(r"\p{Ll}[\p{L}\p{N}]*\p{Lu}|[\p{L}\p{N}_]+(?:\(|\.\p{Ll}|_)")
 
 
@@ -136,7 +143,7 @@ def _closing(text: str, at: int, end: int, nxt: str, after: str) -> float:
         if before.isupper():
             return -6.0 if nxt[:1].isupper() else -4.0
         return 0.5 if word in MAY_BE_LAST else -3.0
-    if word in MAY_BE_LAST or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):
+    if word in MAY_BE_LAST or _DOTTED.fullmatch(word):
         return 0.5
     if word.isdigit() and len(word) <= 2 and not nxt[:1].islower():
         lead = _LAST_TOKEN.search(text, max(0, at - len(before) - 30), max(0, at - len(before) - 1))
@@ -162,7 +169,7 @@ def _lower_style(text: str, at: int, stop: int) -> bool:
     if _LOWER_ON.match(text, stop):
         return True
     lead = text[max(0, at - 120) : at]
-    return len(lead) >= 40 and not regex.search(r"\p{Lu}", lead) and not regex.search(r"\p{Lu}", text[stop : stop + 40])
+    return len(lead) >= 40 and not _CAPITAL.search(lead) and not _CAPITAL.search(text, stop, stop + 40)
 
 
 def _goes_on(text: str, opened: int, nxt: str) -> bool:
@@ -171,15 +178,15 @@ def _goes_on(text: str, opened: int, nxt: str) -> bool:
         return False
     if nxt[0] in "とをはがのにでもやへ" or nxt.startswith("って"):
         return True
-    if regex.match(r"\p{Devanagari}", nxt):
-        return regex.match(r"[\p{Devanagari}\p{M}]+", nxt)[0] in HINDI_ON
-    if regex.match(r"\p{Han}", nxt):
+    if _DEVANAGARI.match(nxt):
+        return _DEVANAGARI_WORD.match(nxt)[0] in HINDI_ON
+    if _HAN.match(nxt):
         lead = text[:opened].rstrip()[-1:]
         if lead in "：:，,、":
             return False
         if not lead or lead in "。！？!?.」』”》）)":
-            return text[opened] not in "「『（(" and bool(regex.match(r".{0,3}[说道问写答喊]", nxt))
-        return text[opened] in "“《「『" and not regex.match(r"[\p{Hiragana}\p{Katakana}]", lead)
+            return text[opened] not in "「『（(" and bool(_SAYS.match(nxt))
+        return text[opened] in "“《「『" and not _KANA.match(lead)
     return False
 
 
@@ -225,8 +232,8 @@ def segment(text: str) -> list[tuple[int, int]]:
                     continue
             else:
                 lead = _LAST_TOKEN.search(text, max(0, at - 40), at)[0]
-                fused = regex.match(r"[\p{Ll}\p{M}]{2,}$|\p{Lu}?[\p{Ll}\p{M}]{2,}$|\d+$", lead) or stop > end
-                if not (fused and regex.match(r"[\"“„«(¿¡]?(?:\p{Lu}\p{Ll}*[\s’',]|\p{Lu}\p{Ll}+-)", text[stop : stop + 40]) and (stop > end or not lead.isdigit())):
+                fused = _FUSED_WORD.match(lead) or stop > end
+                if not (fused and _FUSED_NEXT.match(text, stop, stop + 40) and (stop > end or not lead.isdigit())):
                     continue
         if m[0][0] == "…" and (not gap) and _WIDE.match(text[stop]):
             continue
@@ -322,7 +329,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
             continue
         if m := _HEADING.match(line):
             flush()
-            head = regex.sub(r"\s+#+$", "", line[m.end() :])
+            head = _HEAD_END.sub("", line[m.end() :])
             out.append((a + m.end(), a + m.end() + len(head)))
             continue
         if _RULE.match(line):
