@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 from loomstone.operators import closure, hotkeys, links
+from loomstone.plans.registry import queries
 
 SYMBOLS = "moniker string, enclosing string, name string, depth int"
 
@@ -129,6 +130,18 @@ def test_closure_is_a_queue(spark, cap):
         assert all(t == over for _, _, t in got.get(start, {}).values())
 
 
+def test_subtypes_of_hubs(spark, tmp_path):
+    """A start with more subtypes than the cap keeps all of them."""
+    rnd = random.Random(3)
+    pairs = {(f"s{i:03d}", "hub") for i in range(520)} | {(f"t{i}", f"s{rnd.randrange(520):03d}") for i in range(90)} | {("hub", "top"), ("top", "t7")}
+    spark.createDataFrame([edge(a, b) for a, b in pairs], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(b, set()).add(a)
+    got = {(r["start"], r["node"]): r["depth"] for r in queries()["subtypes_transitive"](spark, str(tmp_path)).collect()}
+    assert got == {(x, y): n for x in adj for y, n in bfs(adj, x).items() if n}
+
+
 def test_hot_keys(spark):
     rows = [("s%d" % (i % 50), "hot" if i % 3 == 0 else f"k{i}" if i % 3 == 1 else None, "CALLS", "value", None, (i, (i, 1, i, 2), "CALL")) for i in range(300)]
     df = hotkeys.edge_keys(spark.createDataFrame(rows * 2, EDGES))
