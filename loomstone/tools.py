@@ -94,27 +94,37 @@ class Index:
         return "\n".join(f"{r['path']}:{r['range']['start_line']}  {r['signature'] or r['moniker'].lstrip('~')}\n    {found.get(r['moniker']) or ''}" for r in rows)
 
     def references(self, symbol: str | None = None, file: str | None = None, line: int | None = None, col: int | None = None) -> str:
-        """One section per declaration, and one tail for the simple name they share; details give way to the budget."""
+        """One section per declaration, and one tail for the simple name they share; details give way to the budget, no file or count does."""
         rows, out = self._select(symbol, file, line, col), []
         refs = match.with_path(graph.confirmed(self.tables["edges"]).where(F.col("dst").isin([r["moniker"] for r in rows])), self.tables["files"]).cache()
+        name = next((r["name"] for r in rows if r["name"]), None)
+        tail = match.with_path(graph.unconfirmed(self.tables["edges"]).where(F.col("name") == (name or "").strip()), self.tables["files"]).cache()
         cap = self.budget.cap("find_java_references")
-        lines = refs.select(F.lit(1).alias("k"), F.coalesce("path", F.lit("?")).alias("path"), "line", F.col("src").alias("snippet"))
-        rung = (shape.rung_sizes(lines, "k").select(shape.choose_rung(cap).alias("r")).first() or {"r": "full"})["r"]
+        lines = [df.select(F.col(k).alias("k"), F.coalesce("path", F.lit("?")).alias("path"), "line", F.col(snippet).alias("snippet")) for df, k, snippet in ((refs, "dst", "src"), (tail, "name", "cause"))]
+        sizes = shape.rung_sizes(lines[0].unionByName(lines[1]), "k").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("full", "locations", "rollup")])
+        rung = sizes.select(shape.choose_rung(cap).alias("r")).first()["r"]
+        rollup = lambda df: [f"  {x['path']}  {x['n']}" for x in df.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy("path").collect()]
         for r in rows:
             mine = refs.where(F.col("dst") == r["moniker"])
             n, files = mine.agg(F.count(F.lit(1)), F.count_distinct("path")).first()
             out.append(f"{r['signature'] or r['moniker']}: Total refs: {n} across {files} file{'s' * (files != 1)}")
             if rung in ("rollup", "over"):
-                out += [f"  {x['path']}  {x['n']}" for x in mine.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line", "col")).alias("f")).orderBy("path").limit(2000).collect()]
+                out += rollup(mine)
             else:
                 for x in mine.orderBy("src", "path", "line", "col").collect():
                     out.append(f"  {x['path']}:{x['line']}" + (f"  called from {x['src']}" if rung == "full" else ""))
+        n, files = tail.agg(F.count(F.lit(1)), F.count_distinct("path")).first()
+        if n:
+            out.append(f"{n} unconfirmed across {files} file{'s' * (files != 1)}")
+            if rung in ("rollup", "over"):
+                out += rollup(tail)
+            else:
+                out += [f"  {x['path']}:{x['line']}" + (f"  [{x['cause']}]" if rung == "full" else "") for x in tail.orderBy("path", "line", "col").collect()]
         refs.unpersist()
-        name = next((r["name"] for r in rows if r["name"]), None)
-        tail = match.with_path(graph.unconfirmed(self.tables["edges"]).where(F.col("name") == (name or "").strip()), self.tables["files"]).orderBy("path", "line", "col").limit(1000).collect()
-        if tail:
-            out += [f"{len(tail)} unconfirmed", *(f"  {x['path']}:{x['line']}  [{x['cause']}]" for x in tail)]
-        if rung != "full":
+        tail.unpersist()
+        if rung == "over":
+            out.append("Over the token budget even as counts per file; all files are listed.")
+        elif rung != "full":
             out.append("Shortened to fit the token budget.")
         return "\n".join(out)
 
