@@ -150,6 +150,12 @@ def bfs_first_parent(s: S, d: str) -> D:
     return cl.closure(t(s, d, "edges")).where("depth = 1").select("start", "node", "via")
 
 
+@query()
+def bfs_first_parent_all(s: S, d: str) -> D:
+    """The edge from its first discovered parent that finds each node, at all depths and without the cap; bfs_first_parent is the first level."""
+    return cl.closure(t(s, d, "edges"), cap=None).select("start", "node", "depth", "via")
+
+
 @query(SQL["dense_node_ids"])
 def dense_ids(s: S, d: str) -> D:
     return QUERIES["dense_node_ids"](s, d)

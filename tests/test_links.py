@@ -130,6 +130,29 @@ def test_closure_is_a_queue(spark, cap):
         assert all(t == over for _, _, t in got.get(start, {}).values())
 
 
+def test_first_parents_are_a_queue(spark, tmp_path):
+    """At every depth the parent that a queue meets first gives via."""
+    rnd = random.Random(11)
+    pairs = sorted({(f"t{rnd.randrange(70):02d}", f"t{rnd.randrange(70):02d}", rnd.choice(["EXTENDS", "IMPLEMENTS"])) for _ in range(150)})
+    spark.createDataFrame([edge(a, b, k) for a, b, k in pairs], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    out, want, differ = {}, {}, 0
+    for a, b, k in pairs:
+        if a != b:
+            out.setdefault(a, []).append((b, k))
+    for start in out:
+        depth, queue = {start: 0}, deque([start])
+        while queue:
+            x = queue.popleft()
+            for b, k in sorted(out.get(x, [])):
+                if b not in depth:
+                    depth[b] = depth[x] + 1
+                    want[start, b] = (depth[b], k)
+                    queue.append(b)
+        differ += sum(len({k for x in depth if depth[x] == n - 1 for y, k in out.get(x, []) if y == b}) > 1 for b, n in depth.items() if n > 1)
+    got = {(r["start"], r["node"]): (r["depth"], r["via"]) for r in queries()["bfs_first_parent_all"](spark, str(tmp_path)).collect()}
+    assert got == want and differ > 20  # nodes whose parents disagree
+
+
 def test_subtypes_of_hubs(spark, tmp_path):
     """A start with more subtypes than the cap keeps all of them."""
     rnd = random.Random(3)
