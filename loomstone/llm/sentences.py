@@ -254,7 +254,7 @@ def segment(text: str) -> list[tuple[int, int]]:
 
 
 def _best(text: str, cuts: list[tuple[int, float]], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The sequence of whole spans with the largest sum of scores."""
+    """The sequence of whole spans with the largest sum of scores, of any length; only sure cuts end the search for a start."""
     ends = [c for c, _ in cuts] + [len(text)]
     gain = [s for _, s in cuts] + [0.0]
     # broken[j]: a matched pair is open at that cut, so both spans beside it would be unbalanced
@@ -266,26 +266,39 @@ def _best(text: str, cuts: list[tuple[int, float]], found: list[tuple[int, int]]
             k += 1
         open_until = [b for b in open_until if b >= e]
         broken.append(len(open_until))
-    total = [0.0] * len(ends)
-    back = [-1] * len(ends)
-    for j, end in enumerate(ends):
+    sure = [g >= 4.0 and not b for g, b in zip(gain, broken)]
+    begins = [0, *ends]
+    total = [0.0] * len(begins)
+    back = [0] * len(begins)
+    near, far = 0, []  # starts from near on are less than 80 back; of those before, far has each with a larger total than all after it
+    for j, end in enumerate(ends, 1):
+        if j > 1 and sure[j - 2]:
+            near, far = j - 1, []  # a sure cut: no better span starts before it
+        while near < j and end - begins[near] + 1 >= 80:  # from here on a longer span costs more, so a nearer start with no smaller total is always better
+            while far and total[far[-1]] <= total[near]:
+                far.pop()
+            far.append(near)
+            near += 1
+        cost = 8.0 * broken[j - 1] if j < len(ends) else 0.0
         best, frm = -math.inf, -1
-        for i in range(j - 1, -2, -1):
-            start = ends[i] if i >= 0 else 0
-            size = end - start
-            score = (total[i] if i >= 0 else 0.0) + gain[j] - 0.1 * abs(math.log((size + 1) / 80)) - (8.0 * broken[j] if j + 1 < len(ends) else 0.0)
+        for i in range(near, j):
+            size = end - begins[i]
+            score = total[i] + gain[j - 1] - 0.1 * abs(math.log((size + 1) / 80)) - cost
             if size < 3:
                 score -= 3.0
-            if score > best:
+            if score >= best:
+                best, frm = score, i
+        for i in far:
+            if total[i] + gain[j - 1] - cost < best:
+                break  # totals fall from here on, and length only costs
+            score = total[i] + gain[j - 1] - 0.1 * math.log((end - begins[i] + 1) / 80) - cost
+            if (score, i) > (best, frm):
                 best, frm = score, i
-            if i >= 0 and (gain[i] >= 4.0 and not broken[i] or size > 4000):
-                break  # a sure cut: no better span starts before it
         total[j], back[j] = best, frm
-    spans, j = [], len(ends) - 1
-    while j >= 0:
-        i = back[j]
-        spans.append((ends[i] if i >= 0 else 0, ends[j]))
-        j = i
+    spans, j = [], len(ends)
+    while j > 0:
+        spans.append((begins[back[j]], begins[j]))
+        j = back[j]
     return spans[::-1]
 
 

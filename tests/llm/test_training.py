@@ -1,5 +1,6 @@
 """Training-data operators against brute force, known cases and round trips, and with nulls, empties, repeats and foreign columns."""
 
+import math
 import random
 import unicodedata
 
@@ -242,6 +243,32 @@ def test_sentences_of_any_text():
     assert sentences.units("a. " * 3000)
 
 
+def test_long_quotations_stay_whole():
+    quoted = "He wrote “" + "why twice? Once is enough. " * 300 + "” and left."
+    text = quoted + " Ok."
+    assert [text[a:b] for a, b in sentences.units(text)] == [quoted, "Ok."]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_spans_against_all_starts(seed):
+    """The best sequence of spans with every start tried, over texts with long and short stretches."""
+    rnd = random.Random(seed)
+    n = rnd.choice([300, 3000, 30_000])
+    cuts = [(c, rnd.choice([-6.0, -1.0, -0.5, 0.0, 0.0, 0.1, 2.0, 5.0][: rnd.choice([3, 5, 8])])) for c in sorted(rnd.sample(range(1, n), 120))]
+    pairs = sorted((a, a + rnd.randrange(1, n)) for a in rnd.sample(range(n), rnd.choice([0, 2])))
+    ends, gain = [0] + [c for c, _ in cuts] + [n], [0.0] + [g for _, g in cuts] + [0.0]
+    broken = [sum(a < e <= b for a, b in pairs) for e in ends]
+    value = lambda i, j: gain[j] - 0.1 * abs(math.log((ends[j] - ends[i] + 1) / 80)) - (8.0 * broken[j] if j + 1 < len(ends) else 0.0) - (3.0 if ends[j] - ends[i] < 3 else 0.0)
+    total = [0.0]
+    for j in range(1, len(ends)):
+        sure = max([0] + [i for i in range(1, j) if gain[i] >= 4.0 and not broken[i]])
+        total.append(max(total[i] + value(i, j) for i in range(sure, j)))
+    spans = sentences._best("x" * n, cuts, pairs)
+    at = {e: k for k, e in enumerate(ends)}
+    assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(value(at[a], at[b]) for a, b in spans) == pytest.approx(total[-1])
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", 9), (1, "One. Two.", 9), (None, "x", 1), (2, None, 1)], "doc_id bigint, text string, start_pos int")
     assert sorted(tuple(r) for r in sentences.sentence_units(df).collect()) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
