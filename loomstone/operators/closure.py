@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.graph import hierarchy_edges
+from loomstone.operators.ids import dense_ids
 from loomstone.runtime import cut
 
 CAP = 500
@@ -56,3 +57,10 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, up: bool = True,
         return levels.select("start", "node", "depth", "via", F.lit(False).alias("truncated"))
     over = levels.where(F.col("rnk") > cap).select("start", F.lit(True).alias("truncated"))
     return levels.where(F.col("rnk") <= cap).join(over, "start", "left").select("start", "node", "depth", "via", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def in_order(nodes: DataFrame) -> DataFrame:
+    """start, node, depth, pos: the nodes of each start counted from 0 by depth and moniker, without one task that holds a whole start."""
+    ranked = dense_ids(nodes.select("start", "node", "depth"), "start", "depth", "node")
+    first = ranked.groupBy("start").agg(F.min("id").alias("first"))
+    return ranked.join(first, "start").select("start", "node", "depth", (F.col("id") - F.col("first")).alias("pos"))

@@ -452,6 +452,19 @@ def hierarchy_order(s: S, d: str) -> D:
     return t(s, d, "hierarchy_nodes").select("walk_start", "moniker").distinct().groupBy("moniker").agg(F.count(F.lit(1)).alias("walks"))
 
 
+@query("""SELECT row_number() OVER (ORDER BY type_ord, dst, src) - 1 AS pos, src, dst, type
+FROM (SELECT DISTINCT src, dst, type, CASE type WHEN 'EXTENDS' THEN 5 WHEN 'IMPLEMENTS' THEN 6 ELSE 7 END AS type_ord FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'OVERRIDES'))""")
+def hierarchy_order_edges(s: S, d: str) -> D:
+    """One-hop edges with their position by edge type, dst and src."""
+    return dense_ids(graph.hierarchy_edges(t(s, d, "edges")), "type_ord", "dst", "src", name="pos").select("pos", "src", "dst", "type")
+
+
+@query("WITH c AS (" + _CLOSURE.format(a="src", b="dst") + ") SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node) - 1 AS pos FROM c")
+def hierarchy_order_nodes(s: S, d: str) -> D:
+    """Supertypes of each start with their position by depth and moniker."""
+    return cl.in_order(cl.closure(t(s, d, "edges"), cap=None))
+
+
 @query()
 def file_dependencies(s: S, d: str) -> D:
     return graph.dependencies(t(s, d, "edges"), t(s, d, "symbols"))

@@ -153,6 +153,16 @@ def test_first_parents_are_a_queue(spark, tmp_path):
     assert got == want and differ > 20  # nodes whose parents disagree
 
 
+def test_hierarchy_orders(spark, tmp_path):
+    """Edges by type, dst and src; the nodes of each start by depth and moniker."""
+    pairs = [("a", "z", "IMPLEMENTS"), ("a", "m", "EXTENDS"), ("z", "b", "EXTENDS"), ("m", "c", "EXTENDS"), ("m", "y", "OVERRIDES"), ("z", "y", "IMPLEMENTS")]
+    spark.createDataFrame([edge(*p) for p in pairs * 2], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    edges = sorted(tuple(r) for r in queries()["hierarchy_order_edges"](spark, str(tmp_path)).collect())
+    assert edges == [(0, "z", "b", "EXTENDS"), (1, "m", "c", "EXTENDS"), (2, "a", "m", "EXTENDS"), (3, "z", "y", "IMPLEMENTS"), (4, "a", "z", "IMPLEMENTS"), (5, "m", "y", "OVERRIDES")]
+    nodes = {(r["start"], r["pos"]): r["node"] for r in queries()["hierarchy_order_nodes"](spark, str(tmp_path)).collect()}
+    assert [nodes["a", i] for i in range(5)] == ["m", "z", "b", "c", "y"] and nodes["z", 0] == "b" and nodes["m", 0] == "c" and len(nodes) == 8
+
+
 def test_subtypes_of_hubs(spark, tmp_path):
     """A start with more subtypes than the cap keeps all of them."""
     rnd = random.Random(3)
