@@ -33,10 +33,10 @@ def live(base: DataFrame, overlay: DataFrame, edits: DataFrame, file_id: str = "
 
 def live_edges(edges: DataFrame, overlay: DataFrame, symbols: DataFrame, edits: DataFrame) -> DataFrame:
     """An edge belongs to the file that declares its src; edges of external sources are never suppressed."""
-    owner = live_symbols(symbols).select(F.col("moniker").alias("src"), F.col("file_id").alias("owner"))
-    e = edges.distinct().join(owner, "src", "left").join(edits.select(F.col("file_id").alias("owner")), "owner", "left_anti").drop("owner")
-    o = overlay.distinct().join(owner, "src").join(edits.where(~F.col("deleted")).select(F.col("file_id").alias("owner")), "owner", "left_semi").drop("owner")
-    return e.unionByName(o.select(*e.columns)).distinct()
+    edited = live_symbols(symbols).select(F.col("moniker").alias("src"), "file_id").join(edits.select("file_id", "deleted"), "file_id").select("src", "deleted")
+    e = edges.join(edited, "src", "left_anti")
+    o = overlay.join(edited.where(~F.col("deleted")), "src", "left_semi")
+    return e.unionByName(o).distinct()
 
 
 def newest_by_moniker(symbols: DataFrame, edits: DataFrame) -> DataFrame:

@@ -522,6 +522,20 @@ def live_edges(s: S, d: str) -> D:
     return liveview.live_edges(e, e.limit(0), t(s, d, "symbols"), _edits(s, d)).groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_EDITS}, {LIVE}, {EDGES} SELECT e.src, e.dst, e.type, count(*) AS n FROM e LEFT JOIN ls ON ls.moniker = e.src WHERE ls.file_id IS NULL OR ls.file_id NOT IN (SELECT file_id FROM ed WHERE deleted) GROUP BY ALL")
+def live_union_edges(s: S, d: str) -> D:
+    """Edges under the overlay of edited files, whose re-indexed slices hold each edge once; live_edges are those kept from the base."""
+    e = t(s, d, "edges")
+    return liveview.live_edges(e, e, t(s, d, "symbols"), _edits(s, d)).groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_EDITS} SELECT DISTINCT file_id, kind, range.start_line AS line, range.start_col AS col, text FROM text_units WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM ed WHERE deleted)")
+def live_union_text(s: S, d: str) -> D:
+    """Text units under the overlay of edited files, whose re-indexed slices hold each unit once."""
+    u = t(s, d, "text_units").select("file_id", "kind", "range", "text")
+    return liveview.live(u, u.distinct(), _edits(s, d)).select("file_id", "kind", F.col("range.start_line").alias("line"), F.col("range.start_col").alias("col"), "text").distinct()
+
+
 @query("SELECT moniker FROM (SELECT src AS moniker FROM edges UNION SELECT dst FROM edges) WHERE moniker NOT IN (SELECT moniker FROM symbols)")
 def phantom_synth(s: S, d: str) -> D:
     return liveview.phantoms(t(s, d, "edges"), t(s, d, "symbols"))

@@ -8,6 +8,7 @@ from loomstone.functions import text as tx
 from loomstone.operators import fresh, graph, liveview, quality, search, shape
 from loomstone.operators.ids import dense_ids
 from loomstone.operators.match import SearchSpec, path_matches, qualified_match
+from loomstone.plans import registry
 from loomstone.runtime import table
 from loomstone.sources import calllog, java, walk
 from loomstone.sources.store import FormatError, Store, index_tables
@@ -96,6 +97,23 @@ def test_live_view_against_a_dictionary(spark):
     assert got == {(f, m) for f, s in state.items() for m in s}
 
 
+def test_live_edges_and_text_of_edited_files(spark, tmp_path):
+    """File 0 is unchanged, 1 was edited, 2 was withdrawn: the slices of 1 are replaced, not lost."""
+    place = lambda i: (i, 1, i, 9)
+    rng = "range struct<start_line:int,start_col:int,end_line:int,end_col:int>"
+    tables = {
+        "files": ([(i, f"F{i}.java", 3 if i != 1 else 9, 5, None if i == 2 else "h", "MAIN") for i in range(3)], "file_id bigint, path string, size bigint, mtime bigint, content_hash string, source_set string"),
+        "source_files": ([(i, "abc") for i in range(3)], "file_id bigint, text string"),
+        "symbols": ([(f"s{i}", "CLASS", 0, None, i, place(1), f"s{i}", None) for i in range(3)], f"moniker string, kind string, flags int, enclosing string, file_id bigint, {rng}, name string, signature string"),
+        "edges": ([(src, "x", "CALLS", "value", None, (0, place(n), "CALL")) for src, n in (("s0", 1), ("s1", 1), ("s1", 2), ("s2", 1), ("~out", 1))] * 2, "src string, dst string, type string, layer string, cause string, occ struct<file_id:bigint," + rng.replace("range struct", "range:struct") + ",role:string>"),
+        "text_units": ([(i, "COMMENT", place(n), f"t{i}{n}") for i in range(3) for n in (1, 2)] * 2, f"file_id bigint, kind string, {rng}, text string")}
+    for name, (rows, schema_) in tables.items():
+        spark.createDataFrame(rows, schema_).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r["src"], r["n"]) for r in run("live_union_edges")} == {("s0", 1), ("s1", 2), ("~out", 1)}
+    assert sorted(r["text"] for r in run("live_union_text")) == ["t01", "t02", "t11", "t12"]
+
+
 def test_valid_prefix(spark):
     log = calllog.frame(spark.createDataFrame([(i, f"p{i}") for i in range(5)], "seq bigint, payload string"))
     torn = calllog.verified(log.withColumn("payload", F.when(F.col("seq") == 3, "x").otherwise(F.col("payload"))))
