@@ -290,13 +290,13 @@ p AS (SELECT file_id, kind, range, string_split(text[:position(m IN text) - 1],
 SELECT file_id, kind, range.start_line AS unit_line, (range.start_line + len(lead) - 1)::INT AS line,
        (CASE WHEN len(lead) = 1 THEN range.start_col + length(lead[-1]) ELSE length(lead[-1]) + 1 END)::INT AS col FROM p""")
 def line_dedup(s: S, d: str) -> D:
-    """A pattern whose matches may cross lines; the first match of each unit."""
+    """A pattern whose matches may cross lines; the first match on each line of each unit. The SQL finds only the first of a unit."""
     u = t(s, d, "text_units")
     hits = search.text_hits(u.select("file_id", "kind", "range", "text"), SearchSpec("the[^a-z]+file"))
     starts = u.select("file_id", "kind", "range").distinct().select("file_id", "kind", F.col("range.start_line").alias("unit_line"), F.col("range.start_col").alias("uc"), F.col("range.end_line").alias("unit_end"), F.col("range.end_col").alias("ue"))
     inside = ((F.col("line") > F.col("unit_line")) | (F.col("col") >= F.col("uc"))) & ((F.col("line") < F.col("unit_end")) | (F.col("col") <= F.col("ue")))
     j = hits.join(starts, ["file_id", "kind"]).where((F.col("line") >= F.col("unit_line")) & (F.col("line") <= F.col("unit_end")) & inside)
-    return j.groupBy("file_id", "kind", "unit_line", "uc").agg(F.min(F.struct("line", "col")).alias("f")).select("file_id", "kind", "unit_line", "f.line", "f.col")
+    return j.groupBy("file_id", "kind", "unit_line", "uc", "line").agg(F.min("col").alias("col")).select("file_id", "kind", "unit_line", "line", "col")
 
 
 # ---- graph

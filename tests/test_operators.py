@@ -68,6 +68,13 @@ def test_text_hits(spark):
     assert search.text_hits(u, SearchSpec(" ")).count() == 0
 
 
+def test_every_line_of_a_unit_with_a_match(spark, tmp_path):
+    text = "a the file, the  file\nnone\nthe\n file and the file\nthe - file"
+    spark.createDataFrame([(1, "COMMENT", (10, 5, 14, 10), text), (1, "COMMENT", (20, 1, 20, 8), "the file")] * 2, UNITS).write.parquet(str(tmp_path / "text_units.parquet"))
+    got = {tuple(r) for r in registry.queries()["line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "COMMENT", 10, 10, 7), (1, "COMMENT", 10, 12, 1), (1, "COMMENT", 10, 13, 11), (1, "COMMENT", 10, 14, 1), (1, "COMMENT", 20, 20, 1)}
+
+
 def test_trigram_short_query(spark):
     with pytest.raises(ValueError):
         search.trigram_candidates(spark.createDataFrame([], "tri string, moniker string"), "io")
