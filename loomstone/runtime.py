@@ -1,8 +1,9 @@
-"""Session helpers shared by all operators: reading tables and cutting lineage."""
+"""Session helpers shared by all operators: reading tables, cutting lineage, spreading scans."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,26 +13,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint, so iterative plans stay short.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: below the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that setting is absent
-    (tests, a laptop) a temporary one is made. The copy survives the loss of executors.
+    Only where that setting is absent and the session is local (tests, a laptop) a temporary folder is
+    made, once. Whatever is left in it goes when the session's JVM ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None and sc.master != "local" and not sc.master.startswith("local["):
+    sc = spark.sparkContext
+    base = sc._jsc.sc().getCheckpointDir()
+    base = base.get() if base.isDefined() else sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomstone-checkpoint-"))
-    return df.checkpoint(eager=True)
+        base = tempfile.mkdtemp(prefix="loomstone-")
+        sc.setCheckpointDir(base)
+        base = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/loomstone-{sc.applicationId}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back: iterative plans stay short.
+
+    The copy is columnar and compressed, its size is known to the optimizer (which decides about broadcasts
+    by it), and it survives the loss of executors. ``drop`` deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``cut`` wrote; nothing may read them later. Others, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "_cut_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in at least as many tasks as there are cores, for costly per-row work on a scan.
 
     Only a scan of fewer splits than cores is moved (by a hash of ``keys``), so what is shuffled is at most one
-    split per core; larger scans stay where they are.
+    split per core; larger scans stay where they are. For scans with narrow operators only.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= slots else df.repartition(slots, *keys)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
