@@ -9,26 +9,22 @@ from loomstone.operators import hotkeys, links
 from loomstone.runtime import table
 
 
-def _keys(spark: SparkSession, sf: str, enclosing: bool = False) -> dict[str, DataFrame]:
-    edges = table(spark, sf, "edges")
-    return {"edges.dst": hotkeys.edge_keys(edges), "usages.target_name": hotkeys.usage_keys(table(spark, sf, "usages"), edges if enclosing else None)}
-
-
-def _both(frames: dict[str, DataFrame]) -> DataFrame:
-    a, b = (df.withColumn("field", F.lit(field)) for field, df in frames.items())
-    return a.unionByName(b)
+def _both(edges: DataFrame, usages: DataFrame) -> DataFrame:
+    both = edges.withColumn("field", F.lit("edges.dst")).unionByName(usages.withColumn("field", F.lit("usages.target_name")))
+    return both.withColumnRenamed("key", "key_value")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Keys holding at least 1.5 % of the rows of their table."""
-    found = {f: hotkeys.heavy_keys(df) for f, df in _keys(spark, sf).items()}
-    return _both(found).select("field", F.col("key").alias("key_value"))
+    edges, usages = hotkeys.edge_keys(table(spark, sf, "edges")), hotkeys.usage_keys(table(spark, sf, "usages"))
+    return _both(hotkeys.heavy_keys(edges), hotkeys.heavy_keys(usages)).select("field", "key_value")
 
 
 def p2_per_key(spark: SparkSession, sf: str) -> DataFrame:
     """uses, files and enclosing symbols of every key of both fields."""
-    out = _both({f: hotkeys.per_key(df) for f, df in _keys(spark, sf, True).items()})
-    return out.select("field", F.col("key").alias("key_value"), "uses", "files", "enclosing_symbols")
+    edges = table(spark, sf, "edges")
+    found = _both(hotkeys.per_key(hotkeys.edge_keys(edges)), hotkeys.per_key(hotkeys.usage_keys(table(spark, sf, "usages")), hotkeys.places(edges)))
+    return found.select("field", "key_value", "uses", "files", "enclosing_symbols")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
