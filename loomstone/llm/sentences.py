@@ -3,14 +3,18 @@
 A text is first laid out: fenced code, headings, list items and paragraphs, with the marks at
 the heads of lines set aside. Within a paragraph every place that could end a sentence is a
 candidate, and semi-Markov dynamic programming picks the best sequence of whole spans. A span is
-scored as a whole: its length, the word it opens with, the word it closes with, and whether its
-quotations and brackets are balanced. Positions are code points of the text as stored.
+scored as a whole (``span_score``): its length, the word it opens with, the word it closes with, and whether
+its quotations and brackets are balanced, where a weak closing counts less in a short span and an inverted
+mark at the beginning asks for its partner at the end. Positions are code points of the text as stored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -29,6 +33,8 @@ NEVER_LAST = set(
 BEFORE_NUMBER = set("no nr nos núm num art vol rev sec sect ch chap cap par para bd abs s p pos ver v op tab anm п пп г ст №".split())
 #: These may end a sentence.
 MAY_BE_LAST = set("etc usw u.s.w inc ltd co corp jr a.m p.m am pm d.c u.s u.k ph.d b.c a.d и.т.д д др г гг e.u ff f al ss approx".split())
+#: These follow what they belong to, so they open no sentence.
+NEVER_FIRST = set("inc ltd corp co jr etc usw al ss ph.d b.c a.d d.c a.m p.m".split())
 #: German words before an ordinal, whose full stop ends nothing.
 BEFORE_ORDINAL = set("am der die das den dem des vom zum zur im beim ab bis seit und oder jeder jede jedes ein eine einem einen einer".split())
 #: Words with which a Hindi or Japanese or Chinese sentence goes on after a quotation.
@@ -47,12 +53,12 @@ _CLOSERS = ")]»”“\"'’」』）》】›‘"
 _BRACKETISH = regex.compile(r"[()\[\]«»“”„\"「」『』（）《》【】‹›]")
 _TERMINAL = regex.compile(r"(?:\.{2,}|…+|[.!?।॥؟۔‼⁇⁈⁉]|[。！？．｡])(?:\.{2,}|…+|[.!?।॥؟۔‼⁇⁈⁉]|[。！？．｡])*")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+(?!ๆ)(?=\S)|(?<=\S)\s+(?=\p{Thai})(?!ๆ)")
-_LAST_TOKEN = regex.compile(r"[^\s()\[\]«»“”„\"「」『』（）,;:]*$")
-_NEXT_TOKEN = regex.compile(r"[^\s]*")
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\u3000-\u303f\uff00-\uffef]")
 _MARKUP_END = regex.compile(r"(?:\*{1,3}|_{1,2}|`|</\w+>)(?=\s|$)")
-_LOWER_ON = regex.compile(r"[^\p{Lu}.!?]{12,}[.!?]+\s+[^\p{Lu}]{12}")
-_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_LOWER_ON = regex.compile(r"[^\p{Lu}.!?]{12,}+[.!?]+\s+[^\p{Lu}]{12}")
+_DOTTED = regex.compile(r"(?:\p{L}\.)*")
+_ABBREVIATION = regex.compile(r"((?:\p{L}{1,4}(?:\.\p{L}){0,2})?)\.?")
+_THAI = regex.compile(r"\p{Thai}")
 _DEVANAGARI, _DEVANAGARI_WORD = regex.compile(r"\p{Devanagari}"), regex.compile(r"[\p{Devanagari}\p{M}]+")
 _HAN, _KANA, _CAPITAL = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Lu}")
 _SAYS = regex.compile(r".{0,3}[说道问写答喊]")
@@ -98,201 +104,327 @@ class _Text:
                 out.append((start, stored(b - 1) + 1))
 
 
-def _pairs(text: str) -> tuple[list[tuple[int, int]], set[int]]:
-    """Matched quotations and brackets as (open, close), and the positions that close one. Marks without a partner count for nothing."""
-    found, stack, straight, closing = [], [], -1, set()
+_CLOSES: dict[str, set[str]] = {}
+for _a, _b in _OPEN.items():
+    _CLOSES.setdefault(_b, set()).add(_a)
+_CLOSES["”"].add("„")
+
+
+def _pairs(text: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Matched quotations and brackets as (open, close), and the opening of each closing place. Marks without a partner count for nothing.
+
+    A closing mark pops what was opened after its partner, and is passed over if nothing it could close is open, so
+    the work is linear. A straight quote that can only open (after white space, before a word) or only close leaves
+    an unfitting partner alone, such as the inch mark of 15".
+    """
+    found: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    held = dict.fromkeys(_OPEN, 0)
+    straight, n = -1, len(text)
     for m in _BRACKETISH.finditer(text):
         ch, at = m[0], m.start()
         if ch == '"':
-            if straight < 0:
+            before, after = text[at - 1] if at else " ", text[at + 1] if at + 1 < n else " "
+            opens = before.isspace() or before in _OPEN
+            closes = after.isspace() or not after.isalnum() and after not in _OPEN
+            if straight < 0 and not (closes and not opens):
                 straight = at
-            else:
+            elif straight >= 0 and opens and not closes:
+                straight = at
+            elif straight >= 0:
                 found.append((straight, at))
                 straight = -1
             continue
-        hit = next((k for k in range(len(stack) - 1, -1, -1) if _OPEN[stack[k][0]] == ch or (stack[k][0] == "„" and ch == "”")), None)
-        if hit is not None:
-            found.append((stack[hit][1], at))
-            del stack[hit:]
+        partners = _CLOSES.get(ch)
+        if partners and any(held[p] for p in partners):
+            while True:
+                mark, began = stack.pop()
+                held[mark] -= 1
+                if mark in partners:
+                    break
+            found.append((began, at))
         elif ch in _OPEN:
             stack.append((ch, at))
-    closing.update(b for _, b in found)
-    return found, closing
+            held[ch] += 1
+    return found, {b: a for a, b in found}
+
+
+_DELIMITERS = set("()[]«»“”„\"「」『』（）,;:")
+_LEADING = "\"'“„«‹‘([（「『《¿¡*_`"
+_LONGEST = 12  # no abbreviation is longer, so longer tokens need no look-up
+
+
+class _Tokens:
+    """The token before a place: what reaches back to white space, a bracket, a quotation mark or a comma. Linear over rising places."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.start = text, 0, 0
+        self.letters: tuple[int, int] = (-1, -1)  # a token and how far single letters with full stops go on in it
+
+    def begin(self, at: int) -> int:
+        k, text = at, self.text
+        while k > self.at and not (text[k - 1] in _DELIMITERS or text[k - 1].isspace()):
+            k -= 1
+        self.start = self.start if k == self.at < at and k else k
+        self.at = at
+        return self.start
+
+    def dotted(self, a: int, at: int) -> bool:
+        """Whether text[a:at] is single letters with full stops between them."""
+        if self.letters[0] != a:
+            self.letters = (a, _DOTTED.match(self.text, a).end())
+        return at - a >= 3 and (at - a) % 2 == 1 and self.letters[1] >= at - 1 and self.text[at - 1].isalpha()
+
+
+def _before(text: str, at: int) -> int:
+    """The place behind the last character before ``at`` that is no white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
 
 
-def _closing(text: str, at: int, end: int, nxt: str, after: str) -> float:
-    """How well the words before the terminal at ``at`` close a sentence, given what follows."""
-    mark = text[at:end]
+def _word_back(text: str, end: int) -> str:
+    """The token that ends at ``end`` if an abbreviation could be as long, else ''."""
+    k = end
+    while k and end - k <= _LONGEST and not (text[k - 1] in _DELIMITERS or text[k - 1].isspace()):
+        k -= 1
+    return text[k:end] if end - k <= _LONGEST else ""
+
+
+def _closing(text: str, tokens: _Tokens, at: int, mark: str, first: str, digit: bool) -> float:
+    """How well the words before the terminal ``mark`` at ``at`` close a sentence, given the first letter that follows."""
     if mark[0] in "。！？．｡।॥؟۔":
         return 5.0
     if "!" in mark or "?" in mark or any(c in "‼⁇⁈⁉" for c in mark):
         return 3.5
     if len(mark) > 1 or mark == "…":
         return 1.0
-    before = _LAST_TOKEN.search(text, max(0, at - 60), at)[0]
-    word = before.lstrip("'’¿¡").lower()
-    digit = after[:1].isdigit()
-    if word in NEVER_LAST or word.rpartition("'")[2] in NEVER_LAST or word.rpartition("’")[2] in NEVER_LAST:
+    start = tokens.begin(at)
+    a = start
+    while a < at and text[a] in "'’¿¡":
+        a += 1
+    if tokens.dotted(a, at):
+        word = text[a:at].lower() if at - a <= _LONGEST else ""
+        return -7.0 if word in NEVER_LAST else 0.5
+    near = text[max(a, at - _LONGEST - 1) : at].lower()  # enough to see any abbreviation, whole or behind an apostrophe
+    word = near if at - a <= _LONGEST else ""
+    tail, curly = near.rpartition("'")[2], near.rpartition("’")[2]
+    if word in NEVER_LAST or tail != near and tail in NEVER_LAST or curly != near and curly in NEVER_LAST:
         return -7.0
-    bare = word.rpartition("'")[2] or word
-    if bare in BEFORE_NUMBER and digit:
-        lead = text[max(0, at - len(before) - 5) : at - len(before)].rstrip()
-        if not lead.endswith(("...", "…")):
+    bare = tail if tail and tail != near else word
+    if digit and bare in BEFORE_NUMBER:
+        k = _before(text, start)
+        if not (text.endswith("...", 0, k) or text.endswith("…", 0, k)):
             return -7.0
     if len(word) == 1 and word.isalpha():
-        if before.isupper():
-            return -6.0 if nxt[:1].isupper() else -4.0
+        if text[start:at].isupper():
+            return -6.0 if first.isupper() else -4.0
         return 0.5 if word in MAY_BE_LAST else -3.0
-    if word in MAY_BE_LAST or _DOTTED.fullmatch(word):
+    if word in MAY_BE_LAST:
         return 0.5
-    if word.isdigit() and len(word) <= 2 and not nxt[:1].islower():
-        lead = _LAST_TOKEN.search(text, max(0, at - len(before) - 30), max(0, at - len(before) - 1))
-        if lead and lead[0].lower() in BEFORE_ORDINAL:
-            return -6.0
+    if word.isdigit() and len(word) <= 2 and not first.islower() and start and _word_back(text, start - 1).lower() in BEFORE_ORDINAL:
+        return -6.0
     return 2.5
 
 
-def _opening(nxt: str, after: str) -> float:
-    """How well a span opens with ``nxt`` (its first token); ``after`` is the same with quotation marks kept."""
-    if not nxt:
+def _opening(text: str, at: int, after: str) -> float:
+    """How well a span opens with the token at ``at``; ``after`` is the character before which leading marks were passed."""
+    if at >= len(text) or text[at].isspace():
         return 1.0
-    ch = nxt[0]
-    if ch.isupper() or after[0] in "¿¡" or _WIDE.match(ch) or ch.isdigit():
+    ch = text[at]
+    if "." in text[at : at + 4] and _ABBREVIATION.match(text, at)[1].lower() in NEVER_FIRST:
+        return -1.0
+    if ch.isupper() or after in "¿¡" or _WIDE.match(ch) or ch.isdigit():
         return 1.5
     if ch.islower():
-        return 0.0 if _CAMEL.match(nxt) else -5.0
+        return 0.0 if _CAMEL.match(text, at) else -5.0
     return 0.5 if ch.isalpha() else -0.5
 
 
-def _lower_style(text: str, at: int, stop: int) -> bool:
-    """Whether the text around a terminal has no capitals at all, so that a small letter may open a sentence."""
-    if _LOWER_ON.match(text, stop):
-        return True
-    lead = text[max(0, at - 120) : at]
-    return len(lead) >= 40 and not _CAPITAL.search(lead) and not _CAPITAL.search(text, stop, stop + 40)
-
-
-def _goes_on(text: str, opened: int, nxt: str) -> bool:
-    """Whether a sentence goes on after a quotation (opened at ``opened``) in a script without capitals."""
-    if not nxt:
+def _goes_on(text: str, opened: int, at: int) -> bool:
+    """Whether a sentence goes on at ``at`` after a quotation (opened at ``opened``) in a script without capitals."""
+    if at >= len(text) or text[at].isspace():
         return False
-    if nxt[0] in "とをはがのにでもやへ" or nxt.startswith("って"):
+    if text[at] in "とをはがのにでもやへ" or text.startswith("って", at):
         return True
-    if _DEVANAGARI.match(nxt):
-        return _DEVANAGARI_WORD.match(nxt)[0] in HINDI_ON
-    if _HAN.match(nxt):
-        lead = text[:opened].rstrip()[-1:]
-        if lead in "：:，,、":
+    if _DEVANAGARI.match(text, at):
+        return _DEVANAGARI_WORD.match(text, at)[0] in HINDI_ON
+    if _HAN.match(text, at):
+        k = _before(text, opened)
+        lead = text[k - 1 : k]
+        if lead in "：:，,、" and lead:
             return False
         if not lead or lead in "。！？!?.」』”》）)":
-            return text[opened] not in "「『（(" and bool(_SAYS.match(nxt))
+            return text[opened] not in "「『（(" and bool(_SAYS.match(text, at))
         return text[opened] in "“《「『" and not _KANA.match(lead)
     return False
 
 
+class _Cut(NamedTuple):
+    """A place that could end a span."""
+
+    at: int
+    closing: float  # the words before it as the end of a span
+    opening: float  # the words after it as the beginning of one
+    asks: bool  # a question or exclamation mark ends it
+    inverted: bool  # an inverted question or exclamation mark follows
+
+
 def segment(text: str) -> list[tuple[int, int]]:
-    """Spans of one paragraph (joined lines), in order; they may have white space at their ends."""
+    """Spans of one paragraph (joined lines), in order; they may have white space at their ends. Linear in the text."""
     n = len(text)
-    found, closing = _pairs(text)
-    opened = {b: a for a, b in found}
-    cuts: list[tuple[int, float]] = []  # (end of a span, score of cutting there)
-    for m in _TERMINAL.finditer(text):
-        at, end = m.start(), m.end()
+    last = _before(text, n)
+    terminals = [m.span() for m in _TERMINAL.finditer(text)]
+    thai = not text.isascii() and bool(_THAI.search(text))
+    if not thai and (not terminals or terminals[0][1] == last):
+        return [(0, n)]
+    found, opened = _pairs(text)
+    tokens = _Tokens(text)
+    capitals = [m.start() for m in _CAPITAL.finditer(text)]
+    cuts: list[_Cut] = []
+
+    def small(i: int, at: int, stop: int) -> bool:
+        """Whether the clauses on both sides of a terminal, or two after it, have no capitals, so that a small letter may open a sentence."""
+        if _LOWER_ON.match(text, stop):
+            return True
+        a, b = terminals[i - 1][1] if i else 0, terminals[i + 1][0] if i + 1 < len(terminals) else n
+        return at - a >= 12 and b - stop >= 3 and bisect_left(capitals, a) == bisect_left(capitals, b)
+
+    for i, (at, end) in enumerate(terminals):
+        mark = text[at:end]
         stop, quoted = end, -1
         while stop < n:
-            if text[stop] in closing or stop in closing:
+            if stop in opened:
                 quoted, stop = opened[stop], stop + 1
                 continue
-            if m2 := _MARKUP_END.match(text, stop):
+            if text[stop] in "*_`<" and (m2 := _MARKUP_END.match(text, stop)):
                 stop = m2.end()
                 continue
-            k = stop
-            while k < n and text[k].isspace():
-                k += 1
-            if k > stop and k in closing and text[k] == "»":
-                quoted, stop = opened[k], k + 1
-                continue
+            if text[stop].isspace():
+                k = stop
+                while k < n and text[k].isspace():
+                    k += 1
+                if k in opened and text[k] == "»":
+                    quoted, stop = opened[k], k + 1
+                    continue
             break
-        if stop >= n or not text[stop:].strip():
+        if stop >= last:
             continue
-        wide = text[end - 1] in "。！？．｡" or (stop > end and text[stop - 1] in "」』”）》】" and text[end - 1] in "।。！？")
+        final = text[end - 1]
+        wide = final in "。！？．｡" or (stop > end and text[stop - 1] in "」』”）》】" and final in "।。！？")
         gap = text[stop].isspace()
         k = stop
         while k < n and text[k].isspace():
             k += 1
-        after = _NEXT_TOKEN.match(text, k, min(n, k + 60))[0]
-        nxt = after.lstrip("\"'“„«‹‘([（「『《¿¡*_`")
+        after = text[k]
         if not gap and not wide:
-            if m[0][0] == "…" or len(m[0]) > 1 and m[0][0] == ".":
+            if mark[0] == "…" or len(mark) > 1 and mark[0] == ".":
                 continue
-            if text[end - 1] in "।॥":
+            if final in "।॥":
                 pass
-            elif text[end - 1] in "!?":
-                if not (nxt[:1].isupper() or after[:1] in "¿¡«“„\"(" or _WIDE.match(after[:1] or " ")):
+            elif final in "!?":
+                j = k
+                while j < n and text[j] in _LEADING:
+                    j += 1
+                if not (text[j : j + 1].isupper() or after in "¿¡«“„\"(" or _WIDE.match(after)):
                     continue
             else:
-                lead = _LAST_TOKEN.search(text, max(0, at - 40), at)[0]
-                fused = _FUSED_WORD.match(lead) or stop > end
-                if not (fused and _FUSED_NEXT.match(text, stop, stop + 40) and (stop > end or not lead.isdigit())):
+                start = tokens.begin(at)
+                fused = stop > end or _FUSED_WORD.match(text, start, at)
+                if not (fused and _FUSED_NEXT.match(text, stop) and (stop > end or not text[start].isdigit())):
                     continue
-        if m[0][0] == "…" and (not gap) and _WIDE.match(text[stop]):
+        if mark[0] == "…" and not gap and _WIDE.match(after):
             continue
-        opening = _opening(nxt, after)
-        if opening < -1.0 and (quoted < 0 and text[end - 1] in "。！？．｡।॥" or _lower_style(text, at, stop)):
+        j = k
+        while j < n and text[j] in _LEADING:
+            j += 1
+        opening = _opening(text, j, after)
+        if opening < -1.0 and (quoted < 0 and final in "。！？．｡।॥" or small(i, at, stop)):
             opening = -1.0
-        score = _closing(text, at, end, nxt, after) + opening + (0.0 if gap or wide else -0.5)
-        if wide and _goes_on(text, quoted, nxt) and quoted >= 0:
-            score = -6.0
-        elif quoted >= 0 and text[end - 1] in "।" and _goes_on(text, quoted, nxt):
-            score = -6.0
-        cuts.append((stop, score))
-    cuts.extend((m.start(), 6.0) for m in _THAI_GAP.finditer(text))
+        closing = _closing(text, tokens, at, mark, text[j : j + 1], after.isdigit()) - (0.0 if gap or wide else 0.5)
+        if quoted >= 0 and (wide or final == "।") and _goes_on(text, quoted, j):
+            closing, opening = -6.0, 0.0
+        cuts.append(_Cut(stop, closing, opening, "!" in mark or "?" in mark, after in "¿¡"))
+    if thai:
+        cuts.extend(_Cut(m.start(), 6.0, 0.0, False, False) for m in _THAI_GAP.finditer(text))
     if not cuts:
         return [(0, n)]
-    cuts = sorted(dict(sorted(cuts, key=lambda c: c[1])).items())
-    return _best(text, cuts, found)
-
-
-def _best(text: str, cuts: list[tuple[int, float]], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The sequence of whole spans with the largest sum of scores, of any length; only sure cuts end the search for a start."""
-    ends = [c for c, _ in cuts] + [len(text)]
-    gain = [s for _, s in cuts] + [0.0]
-    # broken[j]: a matched pair is open at that cut, so both spans beside it would be unbalanced
-    marks = sorted(found)
-    broken, open_until, k = [], [], 0
-    for e in ends:
-        while k < len(marks) and marks[k][0] < e:
-            open_until.append(marks[k][1])
-            k += 1
-        open_until = [b for b in open_until if b >= e]
-        broken.append(len(open_until))
-    sure = [g >= 4.0 and not b for g, b in zip(gain, broken)]
+    best: dict[int, _Cut] = {}
+    for c in sorted(cuts, key=lambda c: c.closing + c.opening):
+        best[c.at] = c
+    tail = terminals[-1] if terminals else (0, 0)
+    asks = any(c in "!?" for c in text[tail[0] : tail[1]]) and all(c in _CLOSERS or c.isspace() for c in text[tail[1] :])
+    return _best(n, sorted(best.values()), found, text[: n - len(text.lstrip()) + 1][-1:] in "¿¡", asks)
+
+
+# The score of a whole span: the words it opens and closes with, and jointly
+SHORT, LONG = 12, 400  # its length: code points below and above which it is unlikely
+OPEN_PAIR = 8.0  # what a quotation or bracket left open at its end costs
+WEAK_SHORT = 1.0  # what a closing by a mere abbreviation costs a short span besides
+INVERTED = 2.5  # what an opening ¿ or ¡ costs a span that no question or exclamation mark closes
+
+
+def _length(size: int) -> float:
+    """How unlikely the length of a span is: short ones the more the shorter, very long ones somewhat."""
+    if size < 3:
+        return -3.0
+    return -0.15 * (SHORT - size) if size < SHORT else 0.0 if size <= LONG else -0.5
+
+
+def span_score(size: int, opening: float, inverted: bool, closing: float, asks: bool, open_pairs: int) -> float:
+    """The score of one span as a whole, in which its length, its opening, its closing and its balance meet."""
+    score = opening + closing + _length(size) - OPEN_PAIR * open_pairs
+    if size < SHORT and 0.0 < closing < 1.0:
+        score -= WEAK_SHORT
+    if inverted and not asks:
+        score -= INVERTED
+    return score
+
+
+def _best(n: int, cuts: list[_Cut], found: list[tuple[int, int]], inverted: bool = False, asks: bool = False) -> list[tuple[int, int]]:
+    """The sequence of whole spans with the largest sum of ``span_score``, by semi-Markov dynamic programming over all starts.
+
+    Starts are kept in three ranges of span length (below SHORT one by one, up to LONG in a queue of falling totals, beyond
+    by their best), apart for inverted openings, so each end costs a few steps however long the text is. Of
+    equal sums the one with the earlier start, that is the longer span, wins. The last span closes without a score of its own.
+    """
+    ends = [c.at for c in cuts] + [n]
+    broken = [0] * (len(ends) + 1)  # matched pairs open at each end, so that the spans on both sides would be unbalanced
+    for a, b in found:
+        broken[bisect_right(ends, a)] += 1
+        broken[bisect_right(ends, b)] -= 1
     begins = [0, *ends]
-    total = [0.0] * len(begins)
-    back = [0] * len(begins)
-    near, far = 0, []  # starts from near on are less than 80 back; of those before, far has each with a larger total than all after it
+    opens = [0.0, *(c.opening for c in cuts)]
+    kinds = [inverted, *(c.inverted for c in cuts)]
+    total, back = [0.0] * len(begins), [0] * len(begins)
+    worth = [0.0] * len(begins)  # total and opening of each start
+    middle: tuple[deque[int], deque[int]] = (deque(), deque())
+    beyond: list[int] = [-1, -1]
+    near = passed = pairs = 0
     for j, end in enumerate(ends, 1):
-        if j > 1 and sure[j - 2]:
-            near, far = j - 1, []  # a sure cut: no better span starts before it
-        while near < j and end - begins[near] + 1 >= 80:  # from here on a longer span costs more, so a nearer start with no smaller total is always better
-            while far and total[far[-1]] <= total[near]:
-                far.pop()
-            far.append(near)
+        worth[j - 1] = total[j - 1] + opens[j - 1]
+        pairs += broken[j - 1]
+        closing, asked = (cuts[j - 1].closing, cuts[j - 1].asks) if j <= len(cuts) else (0.0, asks)
+        open_pairs = pairs if j <= len(cuts) else 0
+        while near < j and end - begins[near] >= SHORT:
+            q = middle[kinds[near]]
+            while q and worth[q[-1]] < worth[near]:
+                q.pop()
+            q.append(near)
             near += 1
-        cost = 8.0 * broken[j - 1] if j < len(ends) else 0.0
+        while passed < near and end - begins[passed] > LONG:
+            kind = kinds[passed]
+            if beyond[kind] < 0 or worth[passed] > worth[beyond[kind]]:
+                beyond[kind] = passed
+            if middle[kind] and middle[kind][0] == passed:
+                middle[kind].popleft()
+            passed += 1
         best, frm = -math.inf, -1
-        for i in range(near, j):
-            size = end - begins[i]
-            score = total[i] + gain[j - 1] - 0.1 * abs(math.log((size + 1) / 80)) - cost
-            if size < 3:
-                score -= 3.0
-            if score >= best:
-                best, frm = score, i
-        for i in far:
-            if total[i] + gain[j - 1] - cost < best:
-                break  # totals fall from here on, and length only costs
-            score = total[i] + gain[j - 1] - 0.1 * math.log((end - begins[i] + 1) / 80) - cost
-            if (score, i) > (best, frm):
+        for i in (*beyond, *(q[0] for q in middle if q), *range(near, j)):
+            if i < 0:
+                continue
+            score = total[i] + span_score(end - begins[i], opens[i], kinds[i], closing, asked, open_pairs)
+            if score > best or score == best and i < frm:
                 best, frm = score, i
         total[j], back[j] = best, frm
     spans, j = [], len(ends)

@@ -254,21 +254,71 @@ def test_spans_against_all_starts(seed):
     """The best sequence of spans with every start tried, over texts with long and short stretches."""
     rnd = random.Random(seed)
     n = rnd.choice([300, 3000, 30_000])
-    cuts = [(c, rnd.choice([-6.0, -1.0, -0.5, 0.0, 0.0, 0.1, 2.0, 5.0][: rnd.choice([3, 5, 8])])) for c in sorted(rnd.sample(range(1, n), 120))]
-    pairs = sorted((a, a + rnd.randrange(1, n)) for a in rnd.sample(range(n), rnd.choice([0, 2])))
-    ends, gain = [0] + [c for c, _ in cuts] + [n], [0.0] + [g for _, g in cuts] + [0.0]
+    cuts = [sentences._Cut(c, rnd.choice([-6.0, -1.0, 0.5, 0.0, 0.4, 2.0, 5.0][: rnd.choice([3, 5, 7])]), rnd.choice([-5.0, -1.0, 0.0, 1.5]), rnd.random() < 0.3, rnd.random() < 0.2) for c in sorted(rnd.sample(range(1, n), 120))]
+    pairs = sorted((a, a + rnd.randrange(1, n - a)) for a in rnd.sample(range(n - 1), rnd.choice([0, 2])))
+    ends = [0] + [c.at for c in cuts] + [n]
     broken = [sum(a < e <= b for a, b in pairs) for e in ends]
-    value = lambda i, j: gain[j] - 0.1 * abs(math.log((ends[j] - ends[i] + 1) / 80)) - (8.0 * broken[j] if j + 1 < len(ends) else 0.0) - (3.0 if ends[j] - ends[i] < 3 else 0.0)
+
+    def value(i, j):
+        end = cuts[j - 1] if j <= len(cuts) else None
+        begin = cuts[i - 1] if i else None
+        return sentences.span_score(ends[j] - ends[i], begin.opening if begin else 0.0, bool(begin and begin.inverted), end.closing if end else 0.0, end.asks if end else True, broken[j] if end else 0)
+
     total = [0.0]
     for j in range(1, len(ends)):
-        sure = max([0] + [i for i in range(1, j) if gain[i] >= 4.0 and not broken[i]])
-        total.append(max(total[i] + value(i, j) for i in range(sure, j)))
-    spans = sentences._best("x" * n, cuts, pairs)
+        total.append(max(total[i] + value(i, j) for i in range(j)))
+    spans = sentences._best(n, cuts, pairs, False, True)
     at = {e: k for k, e in enumerate(ends)}
     assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert sum(value(at[a], at[b]) for a, b in spans) == pytest.approx(total[-1])
 
 
+def one_by_one(text):
+    """What cutting wherever a cut alone seems right would give."""
+    got = []
+    real = sentences._best
+
+    def greedy(n, cuts, found, inverted=False, asks=False):
+        kept = [c.at for c in cuts if c.closing + c.opening - sentences.OPEN_PAIR * sum(a < c.at <= b for a, b in found) > 0]
+        return list(zip([0, *kept], [*kept, n]))
+
+    sentences._best = greedy
+    try:
+        got = [text[a:b] for a, b in sentences.units(text)]
+    finally:
+        sentences._best = real
+    return got
+
+
+@pytest.mark.parametrize("text,want", [
+    ("The patch came at 5 p.m. U.S. Army bases were shut by then.", ["The patch came at 5 p.m.", "U.S. Army bases were shut by then."]),
+    ("He moved to the U.K. U.S. Steel hired Ann.", ["He moved to the U.K.", "U.S. Steel hired Ann."]),
+    ("¿Lo firmó Acme Inc. Madrid? Nadie más firmó.", ["¿Lo firmó Acme Inc. Madrid?", "Nadie más firmó."]),
+    ("¡Llegó a las 7 a.m. María! Qué bien.", ["¡Llegó a las 7 a.m. María!", "Qué bien."])])
+def test_spans_are_scored_jointly(text, want):
+    """Each of these cuts alone would be accepted; only length, opening and closing of whole spans together decide."""
+    assert [text[a:b] for a, b in sentences.units(text)] == want
+    assert one_by_one(text) != want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("It was signed by Acme Corp. Inc. Nobody else signed it.", ["It was signed by Acme Corp. Inc.", "Nobody else signed it."]),
+    ("They ship to the U.S. D.C. Warehouses open on Monday.", ["They ship to the U.S. D.C.", "Warehouses open on Monday."]),
+    ('The 15" panel broke. He said "Stop. Wait." and left. Ok.', ['The 15" panel broke.', 'He said "Stop. Wait." and left.', "Ok."]),
+    ("See com.example.deeply.nested.packagename.ClassNameThatIsVeryLongIndeedSoThatNoWindowHoldsIt.method. Then go.", ["See com.example.deeply.nested.packagename.ClassNameThatIsVeryLongIndeedSoThatNoWindowHoldsIt.method.", "Then go."])])
+def test_marks_and_long_tokens(text, want):
+    assert [text[a:b] for a, b in sentences.units(text)] == want
+
+
+@pytest.mark.parametrize("text", ["(" * 1_000_000, "“([" * 20_000 + "a. B" * 20_000, "a." * 100_000, "etc. " * 50_000, 'a". ' * 50_000, "x" * 500_000 + ". Y"])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    sentences.units(text)
+    assert time.perf_counter() - began < 6  # quadratic work would take minutes
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", 9), (1, "One. Two.", 9), (None, "x", 1), (2, None, 1)], "doc_id bigint, text string, start_pos int")
     assert sorted(tuple(r) for r in sentences.sentence_units(df).collect()) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
