@@ -402,8 +402,9 @@ def subtypes(s: S, d: str) -> D:
 
 
 _CLOSURE = """WITH RECURSIVE h AS (SELECT DISTINCT {a} AS a, {b} AS b FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS') AND src <> dst),
-w(s, n, d) AS (SELECT DISTINCT a, a, 0 FROM h UNION SELECT s, b, d + 1 FROM w JOIN h ON a = n WHERE d < 40)
-SELECT s AS start, n AS node, min(d) AS depth FROM w GROUP BY s, n HAVING min(d) > 0"""
+w(s, n, d) USING KEY (s, n) AS (SELECT DISTINCT a, a, 0 FROM h
+  UNION SELECT w.s, h.b, min(w.d) + 1 FROM w JOIN h ON h.a = w.n LEFT JOIN recurring.w r ON r.s = w.s AND r.n = h.b WHERE r.d IS NULL GROUP BY w.s, h.b)
+SELECT s AS start, n AS node, d AS depth FROM w WHERE d > 0"""
 
 
 @query(_CLOSURE.format(a="src", b="dst"))
@@ -411,9 +412,9 @@ def supertypes_transitive(s: S, d: str) -> D:
     return cl.closure(t(s, d, "edges")).select("start", "node", "depth")
 
 
-@query(_CLOSURE.format(a="dst", b="src").replace("HAVING", "HAVING s IN (SELECT s FROM w GROUP BY s HAVING count(DISTINCT n) <= 501) AND"))
+@query(_CLOSURE.format(a="dst", b="src"))
 def subtypes_transitive(s: S, d: str) -> D:
-    """All subtypes of every start, without the cap. The SQL leaves out starts with more than 500; tests/test_links.py has those."""
+    """All subtypes of every start, without the cap."""
     return cl.closure(t(s, d, "edges"), up=False, cap=None).select("start", "node", "depth")
 
 
@@ -423,8 +424,8 @@ def node_cap(s: S, d: str) -> D:
     return cl.closure(t(s, d, "edges"), cap=5)
 
 
-@query(f"""WITH RECURSIVE {LIVE}, c(m, cur, d) AS (SELECT moniker, enclosing, 0 FROM ls WHERE kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND enclosing <> ''
-  UNION SELECT m, ls.enclosing, d + 1 FROM c JOIN ls ON ls.moniker = cur WHERE ls.kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND ls.enclosing <> '' AND d < 60),
+@query(f"""WITH RECURSIVE {LIVE}, c(m, cur) AS (SELECT moniker, enclosing FROM ls WHERE kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND enclosing <> ''
+  UNION SELECT m, ls.enclosing FROM c JOIN ls ON ls.moniker = cur WHERE ls.kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND ls.enclosing <> ''),
 f AS (SELECT m, cur FROM c JOIN ls ON ls.moniker = cur WHERE ls.kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION'))
 SELECT moniker, CASE WHEN kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') THEN moniker ELSE f.cur END AS anchor FROM ls LEFT JOIN f ON f.m = moniker""")
 def contains_closure(s: S, d: str) -> D:

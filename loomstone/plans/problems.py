@@ -44,7 +44,12 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return links.descendants(table(spark, sf, "symbols")).withColumnRenamed("node", "moniker")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_per_key, p5_found, p5_paths, p5_descendants)}
+def p5_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants of every symbol as one interval of preorder numbers."""
+    return links.intervals(table(spark, sf, "symbols")).withColumnRenamed("node", "moniker")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_per_key, p5_found, p5_paths, p5_descendants, p5_intervals)}
 
 # White space of any kind at both ends; the class is spelled out because RE2 knows only ASCII in \s.
 _TRIM = r"regexp_replace(target_name, '^[\s\p{Z}\x{85}\x{FEFF}]+|[\s\p{Z}\x{85}\x{FEFF}]+$', '', 'g')"
@@ -81,9 +86,9 @@ FROM k WHERE k IS NOT NULL GROUP BY field, k""",
 WITH RECURSIVE {_CHAIN},
 up AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS')),
 asked AS (SELECT DISTINCT walk_start, moniker, depth FROM hierarchy_nodes),
-walk(s, n, d) AS (SELECT DISTINCT walk_start, walk_start, 0 FROM asked
-                  UNION SELECT s, dst, d + 1 FROM walk JOIN up ON src = n WHERE d < 40),
-least AS (SELECT s, n, min(d) AS d FROM walk GROUP BY s, n)
+least(s, n, d) USING KEY (s, n) AS (
+  SELECT DISTINCT walk_start, walk_start, 0 FROM asked
+  UNION SELECT w.s, up.dst, min(w.d) + 1 FROM least w JOIN up ON up.src = w.n LEFT JOIN recurring.least r ON r.s = w.s AND r.n = up.dst WHERE r.d IS NULL GROUP BY w.s, up.dst)
 SELECT state AS fault, '' AS walk_start, moniker FROM state WHERE state <> 'rooted'
 UNION ALL
 SELECT DISTINCT 'depth', walk_start, moniker FROM asked LEFT JOIN least ON s = walk_start AND n = moniker

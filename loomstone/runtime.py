@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,17 +37,20 @@ def _shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **counts: Column) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: iterative plans stay short.
 
     The copy is columnar and compressed, its size is known to the optimizer (which decides about broadcasts
-    by it), and it survives the loss of executors. ``drop`` deletes it.
+    by it), and it survives the loss of executors. ``drop`` deletes it. Aggregates given by name are
+    taken while the rows are written and stand in ``counts`` of the result, so they cost no job.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    watch = Observation() if counts else None
+    (df.observe(watch, *[c.alias(n) for n, c in counts.items()]) if watch else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
+    out.counts = {n: (watch.get or {}).get(n) or 0 for n in counts} if watch else {}
     return out
 
 

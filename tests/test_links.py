@@ -55,6 +55,9 @@ def test_hierarchy_random(spark, seed):
     assert {(r["fault"], r["node"]) for r in links.faults(df).collect()} == {(s, n) for n, (s, _) in want.items() if s != "rooted"}
     pairs = {(r["node"], r["descendant"], r["distance"]) for r in links.descendants(df).collect()}
     assert pairs == {(a, n, k + 1) for n, (_, p) in want.items() if p for k, a in enumerate(p[1:])}
+    spans = {r["node"]: (r["first"], r["last"]) for r in links.intervals(df).collect()}
+    assert sorted(a for a, _ in spans.values()) == list(range(len(spans)))
+    assert {(a, n) for a, (x, y) in spans.items() for n, (z, _) in spans.items() if x < z <= y} == {(a, n) for a, n, _ in pairs}
 
 
 def test_hierarchy_small_cases(spark):
@@ -83,6 +86,18 @@ def edge(a, b, kind="EXTENDS"):
     return (a, b, kind, "hierarchy", None, (-1, (-1, -1, -1, -1), "NONE"))
 
 
+@pytest.mark.parametrize("split", [1, 3, 8, 1000])
+def test_least_depths_for_any_choice_of_splitters(spark, split):
+    rnd = random.Random(split)
+    pairs = {(f"t{rnd.randrange(50)}", f"t{rnd.randrange(50)}") for _ in range(110)} | {(f"u{i}", f"u{i + 1}") for i in range(30)} | {("u30", "u25")}
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+    starts = ["t1", "t2", "t3", "u0", "none"]
+    got = {(r["start"], r["node"]): r["depth"] for r in links.least_depths(spark.createDataFrame(list(pairs), "src string, dst string"), spark.createDataFrame([(s,) for s in starts], "start string"), split).collect()}
+    assert got == {(s, n): d for s in starts for n, d in bfs(adj, s).items()}
+
+
 def test_depth_faults(spark):
     rnd = random.Random(5)
     pairs = {(f"t{rnd.randrange(40)}", f"t{rnd.randrange(40)}") for _ in range(90)}
