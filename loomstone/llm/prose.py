@@ -13,6 +13,8 @@ import ahocorasick
 import regex
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "zh", "ja", "hi", "th")
+#: Languages told apart from a neighbour of the same script but not reported: text of these has no language here.
+OTHERS = ("uk", "mr")
 
 # Frequent function words of each language, in its own spelling.
 FUNCTION_WORDS = {
@@ -35,6 +37,8 @@ FUNCTION_WORDS = {
         здесь где который которая которые""",
     "hi": """का के की को से में पर और या है हैं था थे थी नहीं यह ये वह वे एक दो इस उस हर सभी केवल बार बाद पहले फिर कुछ अपने अपनी ने तक भी ही तो जो जब अगर
         लिए साथ बिना ऊपर नीचे भीतर कर करता करती गया गई हुआ हुई""",
+    "uk": """і та що не на з із це як але або для від до при який яка яке які ще вже тільки лише більше його її їх ми ви він вона воно вони є був була було були під над між через після перед якщо коли""",
+    "mr": """आणि आहे आहेत हे ते या नाही मध्ये होते होता होती करून त्या त्याच्या आपल्या सर्व एका किंवा पण तर की म्हणून साठी असे असते""",
 }
 
 _MOJIBAKE = regex.compile(r"[À-ßà-ô\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
@@ -73,10 +77,10 @@ def repair(text: str) -> str:
         text = _QUOTE_ESC.sub(r"\1", _SPACE_ESC.sub(" ", text))
     if "&" in text:
         text = html.unescape(text)
-    for _ in range(2):  # some texts were damaged twice
-        if not _MOJIBAKE.search(text):
+    while _MOJIBAKE.search(text):  # some texts were damaged more than once; each repair shortens the text
+        before, text = text, _RUN.sub(_redecode, text)
+        if text == before:
             break
-        text = _RUN.sub(_redecode, text)
     return text
 
 
@@ -95,8 +99,11 @@ NAMED = {"param", "throws", "exception"}
 SILENT = {"see", "author", "since", "version", "serial", "serialField", "serialData", "hidden", "uses", "provides"}
 
 
-def blocks(text: str) -> list[tuple[str, str]]:
-    """(tag, words): the main description (tag '') and each block tag, without marks, markup, links and code."""
+def blocks(text: str, names: bool = False) -> list[tuple[str, str]]:
+    """(tag, words): the main description (tag '') and each block tag, without marks, markup, links and code.
+
+    With ``names`` the name that a block tag is about stands behind its tag (``param slot``).
+    """
     text = repair(text).replace("\r\n", "\n").replace("\r", "\n")
     text = _ENDS.sub("", text)
     text = _CODE.sub(" \u0001 ", text)
@@ -114,6 +121,8 @@ def blocks(text: str) -> list[tuple[str, str]]:
             continue
         words = _HOLE.sub(" ", _MARK.sub(" ", words)).strip()
         if tag in NAMED:
+            if names and words:
+                tag += " " + _FIRST.match(words)[0]
             words = _FIRST.sub("", words)
         if words:
             done.append((tag, " ".join(words.split())))
@@ -132,7 +141,7 @@ _SIGNATURE = regex.compile(r"^\s*(?:import|package|return|throw|public|private|p
 def words_of(text: str) -> tuple[list[str], int]:
     """Prose tokens of spaced scripts, and how many tokens there are that carry anything."""
     tokens = [t for t in text.split() if _TOKENISH.search(t) and t != "\u0001"]
-    return [t for t in tokens if _PROSE.match(t) and not _UNSPACED.search(t)], len(tokens)
+    return [t for t in tokens if _PROSE.match(t) and (t.isascii() or not _UNSPACED.search(t))], len(tokens)
 
 
 @cache
@@ -141,31 +150,25 @@ def _automaton():
     table: dict[str, set[str]] = {}
     for lang, words in FUNCTION_WORDS.items():
         for w in words.split():
-            forms = {w, "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) if lang not in ("ru", "hi") else w}
+            forms = {w, "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) if lang not in ("ru", "hi", "uk", "mr") else w}
             if lang == "de":
                 forms.add(w.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss"))
             for f in forms:
                 table.setdefault(f, set()).add(lang)
     a = ahocorasick.Automaton()
     for w, langs in table.items():
-        a.add_word(w, (len(w), tuple(sorted(langs))))
+        a.add_word(f" {w} ", tuple(sorted(langs)))  # with the boundaries, so no other place matches
     a.make_automaton()
     return a
 
 
-def _inner(c: str) -> bool:
-    """Whether a character continues a word."""
-    return c.isalnum() or c == "_" or (c > "\u02ff" and unicodedata.category(c)[0] == "M")
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}_]+")
 
 
 def votes(text: str) -> dict[str, float]:
     """One pass of the automaton: each function word at word boundaries votes 1 / (languages that have it)."""
-    text = text.lower()
-    out, n = {}, len(text)
-    for end, (length, langs) in _automaton().iter(text):
-        start = end + 1 - length
-        if (start and _inner(text[start - 1])) or (end + 1 < n and _inner(text[end + 1])):
-            continue
+    out: dict[str, float] = {}
+    for _, langs in _automaton().iter(f" {_BETWEEN.sub(' ', text.lower())} "):
         for lang in langs:
             out[lang] = out.get(lang, 0.0) + 1 / len(langs)
     return out
@@ -173,43 +176,51 @@ def votes(text: str) -> dict[str, float]:
 
 _DEVANAGARI, _CYRILLIC = regex.compile(r"\p{Devanagari}"), regex.compile(r"\p{Cyrillic}")
 _PROSELIKE = regex.compile(r"^\W*\p{Lu}\p{Ll}|[\p{Ll}][.!?]$")
-_SCRIPTS = [(k, regex.compile(rf"\p{{{k}}}")) for k in ("Han", "Hiragana", "Katakana", "Thai", "Devanagari", "Cyrillic")]
+_HAN, _KANA, _THAI = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]"), regex.compile(r"\p{Thai}")
 _ACCENTS = (("de", regex.compile("[äöüß]")), ("es", regex.compile("[ñ¿¡áíóú]")), ("fr", regex.compile("[éèêëàâçîïôùûœ]")))
+#: The spaced languages of each script, and those that may stand beside them; the first is what a text without any function word is taken for.
+_OF_SCRIPT = {"hi": ("hi", "mr"), "ru": ("ru", "uk"), "": ("en", "de", "fr", "es")}
 
 
-def _latin(text: str) -> str:
+def _latin(text: str, v: dict[str, float] | None = None) -> str:
     """Inverse-language-frequency vote among the Latin-script languages; accents settle ties."""
-    v = votes(text)
-    low = text.lower()
+    v = votes(text) if v is None else v
+    low = "" if text.isascii() else text.lower()
     score = {lang: v.get(lang, 0.0) + 0.3 * min(3, len(p.findall(low))) for lang, p in _ACCENTS} | {"en": v.get("en", 0.0) + 0.01}
-    return max(("en", "de", "fr", "es"), key=lambda k: score[k])
+    return max(_OF_SCRIPT[""], key=lambda k: score[k])
 
 
 def language(text: str, least: int = 3) -> str | None:
     """The language of ``text`` (one block, already undressed) if it is natural language, else None.
 
-    Spaced scripts need ``least`` running words, which make up most of the tokens; Han and kana
-    need 5 letters and Thai 8 characters. Code, queries, paths, patterns and keys are none.
+    Spaced scripts need ``least`` running words, which make up most of the tokens; one pass of the automaton votes for
+    their language, among those of the script that most words have. Script ranges settle the unspaced: Han and kana need 5 letters, Thai 8
+    characters. Code, queries, paths, patterns and keys are none, nor is a language outside ``LANGUAGES``.
     """
-    if _SQL.search(text) and not _UNSPACED.search(text):
-        return None
-    counts = {k: 0 if text.isascii() else len(p.findall(text)) for k, p in _SCRIPTS}
-    kana, han, thai = counts["Hiragana"] + counts["Katakana"], counts["Han"], counts["Thai"]
-    if kana + han >= 5 and kana + han >= thai:
-        return "ja" if kana else "zh"
-    if thai >= 8:
-        return "th"
+    plain = text.isascii()
+    if not plain:
+        kana, han, thai = len(_KANA.findall(text)), len(_HAN.findall(text)), len(_THAI.findall(text))
+        if kana + han >= 5 and kana + han >= thai and not (_SQL.search(text) and not _UNSPACED.search(text)):
+            return "ja" if kana else "zh"
+        if thai >= 8:
+            return "th"
     words, tokens = words_of(text)
+    if len(words) < least or _SQL.search(text) and (plain or not _UNSPACED.search(text)):
+        return None
     spaced = {"hi": 0, "ru": 0, "": 0}
     for w in words:
         spaced["" if w.isascii() else "hi" if _DEVANAGARI.search(w) else "ru" if _CYRILLIC.search(w) else ""] += 1
-    if max(spaced["hi"], spaced["ru"]) >= least:
-        return max(("hi", "ru"), key=lambda k: spaced[k])
+    script = max(("hi", "ru"), key=lambda k: spaced[k])
+    if spaced[script] >= least:
+        v = votes(text)
+        found = max(_OF_SCRIPT[script], key=lambda k: v.get(k, 0.0))
+        return found if found in LANGUAGES else None
     if spaced[""] < least or len(words) < 0.6 * tokens or _CODEISH.search(text) or _SIGNATURE.match(text):
         return None
-    if not any(v > 0 for v in votes(text).values()) and not _PROSELIKE.search(text):
+    v = votes(text)
+    if not v and not _PROSELIKE.search(text):
         return None
-    return _latin(text)
+    return _latin(text, v)
 
 
 def unit_language(text: str | None) -> str | None:
