@@ -59,8 +59,15 @@ def items(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     continue
                 data = text.encode()
                 spans = _pieces(data, capacity)
-                for i, (a, b) in enumerate(spans):
-                    quoted = sum(len(m) for m in _QUOTED.findall(data[a:b])) if b">" in data[a:b] else 0
+                quotes = [m.span() for m in _QUOTED.finditer(data)] if b">" in data else []
+                k = 0
+                for i, (a, b) in enumerate(spans):  # a quoted line may run over several pieces
+                    quoted = 0
+                    while k < len(quotes) and quotes[k][0] < b:
+                        quoted += min(b, quotes[k][1]) - max(a, quotes[k][0])
+                        if quotes[k][1] > b:
+                            break
+                        k += 1
                     out.append((doc_id, i, len(spans), a, b, b - a, b - a - quoted))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "pieces", "start_byte", "end_byte", "tokens", "loss_tokens"])
 
@@ -95,19 +102,20 @@ def dot_product_packing(vectors: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def assign(documents: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
     """container, doc_id, piece, pieces, start_byte, end_byte, tokens, loss_tokens: every piece in exactly one container.
 
-    ``loss`` limits the loss-bearing tokens of a container (the capacity by default; a text with
-    more than a smaller limit is then split at that limit). Equal texts under different ids are different items.
+    ``loss`` limits the loss-bearing tokens of a container (the capacity by default). Only the capacity splits texts:
+    one with more loss-bearing tokens than the limit fills that limit alone, so it shares its container
+    with texts without any. Equal texts under different ids are different items.
     """
     loss = capacity if loss is None else loss
     if min(capacity, loss) < 4 or segments < 1:
         raise ValueError("a container holds at least one character and one segment")
-    pieces = cut(items(documents, min(capacity, loss)))
-    n, tokens = pieces.agg(F.count(F.lit(1)), F.sum("tokens")).first()
-    groups = max(1, math.ceil(n / GROUP_ITEMS), math.ceil((tokens or 0) / GROUP_TOKENS))
+    pieces = cut(items(documents, capacity), n=F.count(F.lit(1)), tokens=F.sum("tokens"))
+    n, tokens = pieces.counts["n"], pieces.counts["tokens"]
+    groups = max(1, math.ceil(n / GROUP_ITEMS), math.ceil(tokens / GROUP_TOKENS))
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["doc_id", "piece"], kind="stable")
-        vectors = np.column_stack([f["tokens"], np.ones(len(f)), f["loss_tokens"]]).astype(float)
+        vectors = np.column_stack([f["tokens"], np.ones(len(f)), np.minimum(f["loss_tokens"], loss)]).astype(float)
         no = dot_product_packing(vectors, np.array([capacity, segments, loss], float))
         return f.assign(container=f["grp"] * (1 << 32) + no).drop(columns="grp")[["container", *[c.split()[0] for c in _ITEMS.split(", ")]]]
 

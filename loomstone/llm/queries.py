@@ -15,9 +15,8 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The pairs whose description is the declaration's own."""
-    found = docpairs.described(table(spark, sf, "skim_decls"), table(spark, sf, "symbols"), table(spark, sf, "edges"))
-    return found.where(F.col("origin") == "own").select("file_id", "start_line").distinct()
+    """The pairs whose description is the declaration's own, which its first step decides."""
+    return docpairs.speaking(table(spark, sf, "skim_decls"))
 
 
 def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +53,22 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(p6_assignment(spark, sf))
 
 
+def p6_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers under three limits of which each binds: 8,192 tokens, 12 segments, 6,144 loss-bearing tokens."""
+    return packing.containers(packing.assign(table(spark, sf, "documents"), segments=12, loss=6144))
+
+
+def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What any right assignment has: texts and tokens placed, texts with a byte left out or placed twice, texts split needlessly, containers over a limit."""
+    a = p6_assignment(spark, sf)
+    per_doc = a.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.max("end_byte").alias("size"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
+    docs = per_doc.agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.count_if((F.col("tokens") != F.col("size")) | (F.col("n") != F.col("pieces"))).alias("incomplete"),
+        F.count_if((F.col("size") <= packing.CAPACITY) & (F.col("n") > 1)).alias("split_needlessly"))
+    over = packing.containers(a).agg(F.count_if((F.col("tokens") > packing.CAPACITY) | (F.col("segments") > packing.SEGMENTS)).alias("over_limit"))
+    return docs.withColumn("k", F.lit(1)).join(over.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that the assignment had to split."""
     return p6_assignment(spark, sf).where(F.col("pieces") > 1).select("doc_id").distinct()
@@ -74,7 +89,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_terms, p4_found, p4_shares, p6_found, p6_assignment, p6_containers, p7_found, p7_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_terms, p4_found, p4_shares, p6_found, p6_assignment, p6_containers, p6_instructions, p6_totals, p7_found, p7_spans, p8_found)}
 
 _TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{85}}\x{{FEFF}}]+$', '', 'g')"
 _TERMS = f"""
@@ -87,5 +102,7 @@ WITH t AS (SELECT 'usages.target_name' AS field, {_TRIM.format('target_name')} A
 SQL = {
     "p3_terms": _TERMS + "SELECT field, term, n_rows, n_files, mark FROM m",
     "p3_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p6_totals": r"""SELECT count(*) AS docs, sum(strlen(text))::BIGINT AS tokens, 0::BIGINT AS incomplete, 0::BIGINT AS split_needlessly, 0::BIGINT AS over_limit
+FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')""",
     "p6_found": r"SELECT doc_id FROM documents WHERE strlen(text) > 8192 AND regexp_matches(text, '[^\s\p{Z}]')",
 }

@@ -69,6 +69,25 @@ def test_inherited_documentation(spark):
     assert docpairs.pairs(nulls, empty[1], empty[2]).count() == 0
 
 
+def test_inherited_sections(spark):
+    """Main text, parameters and results are inherited one by one, through a type variable too; {@inheritDoc} is filled in."""
+
+    def m(f, doc, body, header="int m(int slot)"):
+        return (f, 1, 0, "METHOD", "m", doc, 2, header, 3, 5, body, True, "clash")
+
+    skim = [
+        m(1, "/** Never blocks a reader.\n * @param slot counted from zero upwards\n * @return remaining free rows */", None, "int m(T slot)"),
+        m(2, "/** Also warms the shard. {@inheritDoc}\n * @return doubled weight */", "x();", "int m(Row slot)"), m(3, "/** @param slot {@inheritDoc} */", "x();", "int m(Row slot)"), m(4, None, "x();", "int m(Row slot, int b)")]
+    tails = {1: "m(T).", 2: "m(a.b.Row).", 3: "m(Row).", 4: "m(Row,int)."}
+    symbols = [(f"p/{t}#{tails[f]}", "METHOD", 0, f"p/{t}#", f, (3, 1, 5, 1), "m", None) for f, t in enumerate("ABCD", 1)]
+    edges = [(f"p/{a}#", f"p/{b}#", "EXTENDS", "hierarchy", None, None) for a, b in [("B", "A"), ("C", "B"), ("D", "A")]]
+    got = {r["file_id"]: (r["origin"], r["description"]) for r in docpairs.pairs(spark.createDataFrame(skim, SKIM), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(edges, EDGES)).collect()}
+    assert got == {
+        2: ("own", "Also warms the shard. Never blocks a reader. @return doubled weight @param slot counted from zero upwards"),
+        3: ("inherited", "Never blocks a reader. @param slot counted from zero upwards @return doubled weight")}
+    assert {r["file_id"] for r in docpairs.speaking(spark.createDataFrame(skim * 2, SKIM)).collect()} == {2}
+
+
 # ---- p3
 
 
@@ -134,6 +153,16 @@ def test_packing_limits_and_round_trip(spark):
     quoted = next(r for r in got if r["doc_id"] == 401)
     assert quoted["loss_tokens"] == 100
     assert packing.assign(df.limit(0)).count() == 0
+    long_quote = spark.createDataFrame([(1, "> " + "a" * 2500 + "\nb")], "doc_id bigint, text string")
+    assert [r["loss_tokens"] for r in packing.assign(long_quote, capacity=1000).orderBy("piece").collect()] == [0, 0, 1]
+    tight = packing.assign(df, capacity=1000, segments=6, loss=400).collect()
+    loads = {}
+    for r in tight:
+        loads.setdefault(r["container"], []).append(r)
+    for rows in loads.values():
+        assert sum(r["tokens"] for r in rows) <= 1000 and len(rows) <= 6
+        assert sum(r["loss_tokens"] for r in rows) <= 400 or sum(r["loss_tokens"] > 0 for r in rows) == 1
+    assert any(len(rows) == 6 for rows in loads.values()) and any(350 < sum(r["loss_tokens"] for r in rows) <= 400 for rows in loads.values())
     with pytest.raises(ValueError):
         packing.assign(df, capacity=2)
 
@@ -172,10 +201,10 @@ def test_leaks(spark):
         (1, f"before. {item} after"), (2, "// " + "\n// ".join(" ".join(word[i : i + 7]).upper() for i in range(0, 60, 7))), (3, " ".join(word[:29])), (4, " ".join(word[:30])),
         (5, " ".join(" ".join([*word[i : i + 7], "gap"]) for i in range(0, 60, 7))), (6, " ".join(f"**{w}**" if i % 3 else f"<em>{w}</em>" for i, w in enumerate(word))),
         (7, unicodedata.normalize("NFD", de).upper()), (8, f"文字 {zh[:12]}\n> {zh[12:]}"), (9, zh[:19]), (10, None), (11, "  "), (12, item), (13, " ".join(word[40:] + ["x"] + word[:15]))]
-    items = [(100, "cause", "en", item), (101, "order", "de", de), (102, "order", "zh", zh), (103, "order", "en", "too short"), (104, None, None, None), (105, "cause", "en", item)]
+    items = [(100, "cause", "en", item), (101, "order", "de", de), (102, "order", "zh", zh), (103, "order", "en", "too short"), (104, None, None, None), (105, "cause", "en", item), (106, "order", None, zh), (107, "order", "en", zh)]
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, item_id string")
     e = spark.createDataFrame(items, "item_id bigint, task string, lang string, text string")
-    want = {(i, k) for i in (1, 2, 4, 6, 12, 13) for k in (100, 105)} | {(7, 101), (8, 102)}
+    want = {(i, k) for i in (1, 2, 4, 6, 12, 13) for k in (100, 105)} | {(7, 101), (8, 102), (8, 106), (8, 107)}
     for shard, block in ((10**6, 10**6), (50, 100)):
         got = leakage.leaks(d, e, shard, block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want
