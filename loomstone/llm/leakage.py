@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.fmindex import FMIndex
-from loomstone.runtime import spread
+from loomstone.runtime import cut, spread
 
 SHARD = 400_000
 WORDS, LETTERS = 8, 20
-#: Items are searched in blocks of so many bytes of text; each block is one pass over the corpus.
-ITEM_BLOCK = 16 << 20
+#: Items are searched in blocks of so many characters of text; each block is one pass over the corpus.
+ITEM_BLOCK = 4 << 20
 LETTERWISE = {"zh", "ja"}
 
 _ASIDE = regex.compile(
@@ -72,28 +73,52 @@ class _Plain:
         return self._origins[k] + pos - self._starts[k]
 
 
-def words(text: str) -> tuple[list[str], list[tuple[int, int]], _Plain]:
-    """Runs of letters and digits, case folded, with their places in the plain text."""
-    plain = _Plain(text)
-    found = [(m[0].casefold(), m.span()) for m in _WORD.finditer(plain.text)]
-    return [w for w, _ in found], [s for _, s in found], plain
+def _plain(text: str) -> str:
+    """The plain text alone."""
+    if text.isascii() and not _ASIDE.search(text):
+        return text
+    parts, at = [], 0
+
+    def plain(piece: str) -> None:
+        parts.append(piece if piece.isascii() or unicodedata.is_normalized("NFKC", piece) else "".join(unicodedata.normalize("NFKC", c) for c in _CLUSTER.findall(piece)))
+
+    for m in _ASIDE.finditer(text):
+        plain(text[at : m.start()])
+        if m[0][0] == "&":
+            plain(html.unescape(m[0]))
+        at = m.end()
+    plain(text[at:])
+    return "".join(parts)
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters and digits, case folded."""
+    return [w.casefold() for w in _WORD.findall(_plain(text))]
+
 
+def letters(text: str) -> list[str]:
+    """Letters and digits, case folded."""
+    return [w.casefold() for w in _LETTER.findall(_plain(text))]
 
-def letters(text: str) -> tuple[list[str], list[tuple[int, int]], _Plain]:
+
+_UNIT = {words: _WORD, letters: _LETTER}
+
+
+def _places(text: str, tokens) -> tuple[list[tuple[int, int]], _Plain]:
+    """Where the tokens stand in the plain text, and that in the stored one; asked only for texts that hold an item."""
     plain = _Plain(text)
-    found = [(m[0].casefold(), m.span()) for m in _LETTER.finditer(plain.text)]
-    return [w for w, _ in found], [s for _, s in found], plain
+    return [m.span() for m in _UNIT[tokens].finditer(plain.text)], plain
 
 
 class Items:
     """Windows of one kind of items: distinct patterns, and the patterns at each place of each item."""
 
     def __init__(self, rows: list[tuple[int, str]], window: int, tokens) -> None:
-        self.window, self.ids, self.places, self.sizes = window, [], [], []
+        self.window, self.tokens, self.ids, self.places, self.sizes = window, tokens, [], [], []
         index: dict[tuple[str, ...], int] = {}
         owners: list[set[int]] = []
         for item_id, text in rows:
-            ws = tokens(text)[0]
+            ws = tokens(text)
             if len(ws) < window:
                 continue
             place = np.empty(len(ws) - window + 1, "int64")
@@ -153,12 +178,15 @@ def _hits(items: Items, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarra
         yield int(doc[a]), patterns[a:b], at[a:b] - starts[doc[a]]
 
 
-def _report(items: Items, doc_id: int, spans: list[tuple[int, int]], plain: _Plain, here: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
+def _report(items: Items, doc_id: int, text: str, here: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
     """(doc_id, item_id, covered, size, spans) of the items that one document holds; ``here`` are the patterns found at ``pos``."""
+    spans: list[tuple[int, int]] = []
     for i in sorted({i for p in np.unique(here).tolist() for i in items.seeds[p]}):
         covered = items.covered(i, np.isin(items.places[i], here))
         if 2 * covered < items.sizes[i]:
             continue
+        if not spans:
+            spans, plain = _places(text, items.tokens)
         merged: list[list[int]] = []
         for p in pos[np.isin(here, items.places[i])].tolist():
             if merged and p <= merged[-1][1]:
@@ -169,32 +197,39 @@ def _report(items: Items, doc_id: int, spans: list[tuple[int, int]], plain: _Pla
         yield doc_id, items.ids[i], covered, items.sizes[i], out
 
 
-def _search(items: Items, docs: list[tuple[int, list[str], list[tuple[int, int]], _Plain]]) -> Iterator[tuple]:
+_Doc = tuple[int, str, list[str]]  # id, text, tokens
+
+
+def _search(items: Items, docs: list[_Doc]) -> Iterator[tuple]:
     """The reports of the documents of one shard."""
-    for d, here, pos in _hits(items, [tokens for _, tokens, _, _ in docs]):
-        doc_id, _, spans, plain = docs[d]
-        yield from _report(items, doc_id, spans, plain, here, pos)
+    for d, here, pos in _hits(items, [tokens for _, _, tokens in docs]):
+        yield from _report(items, *docs[d][:2], here, pos)
 
 
-def _search_long(items: Items, doc: tuple[int, list[str], list[tuple[int, int]], _Plain], shard: int) -> Iterator[tuple]:
+def _search_long(items: Items, doc: _Doc, shard: int) -> Iterator[tuple]:
     """The report of one document larger than a shard: its parts overlap by a window less one token and are indexed one by one."""
-    doc_id, tokens, spans, plain = doc
+    doc_id, text, tokens = doc
     here, pos = [], []
     for a in range(0, len(tokens), shard):
         for _, patterns, at in _hits(items, [tokens[a : a + shard + items.window - 1]]):
             here.append(patterns)
             pos.append(at + a)
     if here:
-        yield from _report(items, doc_id, spans, plain, np.concatenate(here), np.concatenate(pos))
+        yield from _report(items, doc_id, text, np.concatenate(here), np.concatenate(pos))
 
 
 _FOUND = "doc_id bigint, item_id bigint, covered bigint, size bigint, spans array<struct<start_pos:bigint,end_pos:bigint>>"
 _COLUMNS = ["doc_id", "item_id", "covered", "size", "spans"]
 
 
+def _letterwise(lang: str, text: str) -> bool:
+    """Whether an item is compared by letters: its language or, where that is missing or wrong, its script says so."""
+    return lang in LETTERWISE or 2 * len(_CJK.findall(text)) > len(_LETTER.findall(text))
+
+
 def _latin_half(text: str) -> bool:
     """Whether runs without any Chinese or Japanese character, of the window length, make up half of an item."""
-    tokens = letters(text)[0]
+    tokens = letters(text)
     runs, run = 0, 0
     for t in [*tokens, "一"]:
         if _CJK.match(t):
@@ -204,31 +239,48 @@ def _latin_half(text: str) -> bool:
     return 2 * runs >= len(tokens)
 
 
-def _finder(rows: list[tuple[int, str, str]], shard: int):
+class _Block:
+    """A block of items made ready for the search: by words, by letters, and whether the latter may stand in texts without Chinese or Japanese."""
+
+    ready: tuple[str, _Block] | None = None  # one per Python worker
+
+    def __init__(self, rows: list[tuple[int, str, str]]) -> None:
+        dense = [(i, t) for i, lang, t in rows if _letterwise(lang, t)]
+        self.kinds = (Items([(i, t) for i, lang, t in rows if not _letterwise(lang, t)], WORDS, words), Items(dense, LETTERS, letters))
+        self.anywhere = any(_latin_half(t) for _, t in dense)
+
+    @classmethod
+    def of(cls, key: str, rows: list[tuple[int, str, str]]) -> _Block:
+        """Built once in each Python worker, not in each task."""
+        if cls.ready is None or cls.ready[0] != key:
+            cls.ready = (key, cls(rows))
+        return cls.ready[1]
+
+
+def _finder(key: str, rows, shard: int):
+    """``rows`` is a broadcast of (item_id, lang, text)."""
+
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spaced = Items([(i, t) for i, lang, t in rows if lang not in LETTERWISE], WORDS, words)
-        dense_rows = [(i, t) for i, lang, t in rows if lang in LETTERWISE]
-        dense = Items(dense_rows, LETTERS, letters)
-        all_docs = any(_latin_half(t) for _, t in dense_rows)
-        held: dict[int, list] = {0: [], 1: []}
-        sizes = {0: 0, 1: 0}
+        block = _Block.of(key, rows.value)
+        held: list[list[_Doc]] = [[], []]
+        sizes = [0, 0]
 
         def run(k: int) -> pd.DataFrame:
-            out = pd.DataFrame(list(_search((spaced, dense)[k], held[k])), columns=_COLUMNS)
+            out = pd.DataFrame(list(_search(block.kinds[k], held[k])), columns=_COLUMNS)
             held[k], sizes[k] = [], 0
             return out
 
         for f in frames:
             for doc_id, text in zip(f["doc_id"], f["text"]):
-                for k, (items, tokens) in enumerate(((spaced, words), (dense, letters))):
-                    if not items.ids or (k and not all_docs and not _CJK.search(text)):
+                for k, items in enumerate(block.kinds):
+                    if not items.ids or (k and not block.anywhere and not _CJK.search(text)):
                         continue
-                    found = tokens(text)
-                    if len(found[0]) > shard:
-                        yield pd.DataFrame(list(_search_long(items, (doc_id, *found), shard)), columns=_COLUMNS)
-                    elif len(found[0]) >= items.window:
-                        held[k].append((doc_id, *found))
-                        sizes[k] += len(found[0]) + 1
+                    tokens = items.tokens(text)
+                    if len(tokens) > shard:
+                        yield pd.DataFrame(list(_search_long(items, (doc_id, text, tokens), shard)), columns=_COLUMNS)
+                    elif len(tokens) >= items.window:
+                        held[k].append((doc_id, text, tokens))
+                        sizes[k] += len(tokens) + 1
                         if sizes[k] >= shard:
                             yield run(k)
         for k in (0, 1):
@@ -241,22 +293,25 @@ def _finder(rows: list[tuple[int, str, str]], shard: int):
 def leaks(documents: DataFrame, items: DataFrame, shard: int = SHARD, block: int = ITEM_BLOCK) -> DataFrame:
     """doc_id, item_id, covered, size, spans of every document that holds at least half of an item.
 
-    covered and size count the item's words (letters and digits for zh and ja); spans are merged
-    code point ranges of the stored text, fit for removal. The items are the stated query set:
-    they are fetched once and, beyond ``block`` bytes, searched in several passes over the corpus.
-    Null and blank texts, and items shorter than one window, give nothing; equal items all match.
+    covered and size count the item's words (letters and digits for zh and ja, and for items written mostly
+    in their scripts); spans are merged code point ranges of the stored text, fit for removal. The items are the stated
+    query set: they come to the driver block by block, ``block`` characters at a time, and each block is broadcast
+    for one pass over the corpus, whose findings are written before the next block is fetched. Null and blank texts,
+    and items shorter than one window, give nothing; equal items all match.
     """
-    rows: list[list[tuple[int, str, str]]] = [[]]
-    size = 0
+    sc = documents.sparkSession.sparkContext
+    texts = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id")
+
+    def one_pass(rows: list[tuple[int, str, str]]) -> DataFrame:
+        return texts.mapInPandas(_finder(uuid.uuid4().hex, sc.broadcast(rows), shard), _FOUND)
+
+    out, rows, size = None, [], 0
     for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "lang", "text").distinct().toLocalIterator():
         if size >= block:
-            rows.append([])
-            size = 0
-        rows[-1].append((r["item_id"], (r["lang"] or "").strip().lower()[:2], r["text"]))
+            found = cut(one_pass(rows))
+            out = found if out is None else out.unionByName(found)
+            rows, size = [], 0
+        rows.append((r["item_id"], (r["lang"] or "").strip().lower()[:2], r["text"]))
         size += len(r["text"])
-    texts = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id")
-    out = None
-    for part in rows:
-        found = texts.mapInPandas(_finder(part, shard), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+    last = one_pass(rows)
+    return last if out is None else out.unionByName(last)
