@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomstone import schema
+from loomstone.sources.store import Folder
 
 
 def stream(spark: SparkSession, path: str, table: str, per_trigger: int = 64) -> DataFrame:
@@ -16,9 +17,21 @@ def stream(spark: SparkSession, path: str, table: str, per_trigger: int = 64) ->
     return spark.readStream.schema(schema.SCHEMAS[table]).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def changes(feed: DataFrame) -> DataFrame:
-    """Each (path, content_hash) once: reports may repeat, changes may not. Works on streams (with state) and batches."""
-    return feed.dropDuplicates(["path", "content_hash"])
+def changes(reports: DataFrame, state: DataFrame | None = None, key: str = "path", seq: str = "mtime", value: str = "content_hash") -> DataFrame:
+    """The reports whose ``value`` differs from the one before it (by ``seq``) for the same key, in the batch or in the ``state``.
+
+    Repeated reports are no changes, but going back to an earlier content is one. The first report of a key is a change;
+    a null value differs from any other. Reports older than the state's are ignored: they were overtaken.
+    """
+    cols = reports.columns
+    rows = reports.select(*cols, F.lit(1).alias("_new")).distinct()
+    if state is not None:
+        known = state.select(*[F.col(c) if c in state.columns else F.lit(None).cast(reports.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_new"))
+        newest = state.select(F.col(key), F.col(seq).alias("_last"))
+        rows = rows.join(newest, key, "left").where(F.col("_last").isNull() | (F.col(seq) >= F.col("_last"))).drop("_last").unionByName(known)
+    w = Window.partitionBy(key).orderBy(F.col(seq).asc_nulls_first(), "_new", value)
+    rows = rows.withColumn("_no", F.row_number().over(w)).withColumn("_before", F.lag(value).over(w))
+    return rows.where((F.col("_new") == 1) & ((F.col("_no") == 1) | ~F.col(value).eqNullSafe(F.col("_before")))).select(*cols)
 
 
 def merge_latest(state: DataFrame | None, batch: DataFrame, key: str, seq: str) -> DataFrame:
@@ -29,21 +42,31 @@ def merge_latest(state: DataFrame | None, batch: DataFrame, key: str, seq: str)
     return both.groupBy(key).agg(F.max(rest).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def keep_latest(feed: DataFrame, path: str, checkpoint: str, key: str = "path", seq: str = "mtime") -> StreamingQuery:
-    """Keeps one row per key in ``path``/state=N; each batch writes the next state and then the number, so a repeated batch changes nothing."""
+def keep_latest(
+    feed: DataFrame, path: str, checkpoint: str, key: str = "path", seq: str = "mtime", value: str = "content_hash", on_change: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """Keeps one row per key in ``path``/state=N. Each batch writes the next state beside the last one and then, in one step, its number.
+
+    A repeated batch changes nothing; a batch that fails leaves the last state in place, and a state that cannot be read fails the batch
+    instead of starting anew. The state before last is deleted. ``on_change`` gets the changes of each batch (``changes``)
+    before the state moves on, so after a crash it may get them again.
+    """
 
     def step(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        pointer = f"{path}/latest"
-        try:
-            at = spark.read.text(pointer).first()[0]
-            state = spark.read.parquet(f"{path}/state={at}")
-        except Exception:  # noqa: BLE001 - the first batch has no state
-            at, state = None, None
+        files = Folder(spark, path)
+        at = files.read("latest")
         if at is not None and int(at) >= no:
             return
+        state = None if at is None else spark.read.schema(batch.schema).parquet(f"{path}/state={at}")
+        if on_change is not None:
+            on_change(changes(batch, state, key, seq, value), no)
         merge_latest(state, batch, key, seq).write.mode("overwrite").parquet(f"{path}/state={no}")
-        spark.createDataFrame([(str(no),)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        before = files.read("previous")
+        files.write("previous", at or "")
+        files.write("latest", str(no))
+        if before and before != at:
+            files.delete(f"state={before}")
 
     return feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
