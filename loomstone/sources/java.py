@@ -1,14 +1,14 @@
 """Parse-only extraction of facts from Java source text: text units, declarations, use sites.
 
-A tokenizer and a declaration parser; nothing is resolved. Runs per file in Arrow batches, so one
-read of the sources gives all projections and no file leaves its partition. Text that does not parse gives
-what could be read before the fault.
+A tokenizer and a declaration parser; nothing is resolved. ``facts`` runs once per file in Arrow batches and gives
+all projections and what went wrong; no file leaves its partition. Text that does not parse gives what could be read
+before the fault, and the fault.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,11 +90,16 @@ class Parser:
     def __init__(self, src: Source) -> None:
         self.src, self.t, self.i, self.rows = src, src.code, 0, []
         self.names: set[int] = set()  # tokens that name a declaration
-        self.types: set[int] = set()  # tokens that stand where a type is written
+        self.failure: str | None = None
+        self.line_comments = [a for k, a, _ in src.comments if k == "line"]
         try:
             self._unit()
         except IndexError:
-            pass
+            open_ = [r["name"] for r in self.rows if not r["end_line"]]
+            self.failure = "the text ends inside " + (f"the declaration of {open_[-1]}" if open_ else "a declaration")
+            for row in self.rows:  # what is still open reaches to the end of the text
+                if not row["end_line"]:
+                    row["end_line"], row["end_col"] = src.place(max(0, len(src.text) - 1))
 
     def _is(self, s: str, k: int = 0) -> bool:
         return self.i + k < len(self.t) and self.t[self.i + k][1] == s and self.t[self.i + k][0] in ("op", "ident")
@@ -153,7 +158,7 @@ class Parser:
             a, b = self.t[body[0]][3], self.t[body[1]][2]
             row["has_body"] = True
             row["body_inner"] = src.text[a:b]
-            row["body_has_line_comment"] = any(k == "line" and a <= s < b for k, s, _ in src.comments)
+            row["body_has_line_comment"] = bisect_left(self.line_comments, a) < bisect_left(self.line_comments, b)
 
     def _member(self, parent: int | None, owner: str, owner_kind: str) -> None:
         first = self.i
@@ -274,9 +279,9 @@ class Parser:
                 self.i += 1
 
 
-def skim_rows(text: str) -> list[dict]:
+def skim_rows(parser: Parser) -> list[dict]:
     """Declarations without record components, which the outline has, numbered anew."""
-    rows = [r for r in Parser(Source(text)).rows if "component" not in r]
+    rows = [r for r in parser.rows if "component" not in r]
     number = {r["decl_no"]: i for i, r in enumerate(rows)}
     return [{**r, "decl_no": i, "parent_no": number.get(r["parent_no"])} for i, r in enumerate(rows)]
 
@@ -321,51 +326,78 @@ def use_sites(src: Source, parser: Parser) -> Iterator[tuple[str, str, dict]]:
             yield what, s, src.span(a, b)
 
 
-def _run(texts: Iterator[pd.DataFrame], rows: Callable[[str], list[dict]], columns: list[str]) -> Iterator[pd.DataFrame]:
-    for f in texts:
-        out = []
-        for file_id, text in zip(f["file_id"], f["text"]):
-            out.extend({"file_id": file_id, **r} for r in rows(text))
-        yield pd.DataFrame(out, columns=columns)
+_RANGE = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
+_SKIM = (
+    "decl_no int, parent_no int, kind string, name string, doc_text string, doc_start_line int, header_text string, start_line int, end_line int, body_inner string, "
+    "has_body boolean, body_has_line_comment boolean")
+#: The projections of one parse and their columns.
+PROJECTIONS = {
+    "text_units": f"kind string, range {_RANGE}, text string", "usages": f"kind string, target_name string, range {_RANGE}", "skim_decls": _SKIM,
+    "outline": f"decl_no int, parent_no int, kind string, name string, range {_RANGE}",
+}
 
 
-def _over(source_files: DataFrame, rows: Callable[[str], list[dict]], schema: str) -> DataFrame:
-    columns = [c.strip().split()[0] for c in re.sub(r"<[^<>]*>", "", schema).split(",")]
-    one = source_files.where(F.col("text").isNotNull()).select("file_id", "text")
-    return spread(one, "file_id").mapInPandas(lambda it: _run(it, rows, columns), schema).distinct()
+def _names(columns: str) -> list[str]:
+    return [c.strip().split()[0] for c in re.sub(r"<[^<>]*>", "", columns).split(",")]
 
 
-_RANGE = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
+def _place(row: dict) -> dict:
+    return {k: row[k] for k in ("start_line", "start_col", "end_line", "end_col")}
+
+
+def parse(text: str, wanted: tuple[str, ...]) -> tuple[dict[str, list[dict]], str | None]:
+    """The wanted projections of one text from one tokenization and one parse, and the failure if it does not parse."""
+    src = Source(text)
+    parser = Parser(src) if set(wanted) - {"text_units"} else None
+    make: dict[str, Callable[[], list[dict]]] = {
+        "text_units": lambda: [{"kind": k, "range": r, "text": x} for k, r, x in text_units(src)],
+        "usages": lambda: [{"kind": k, "target_name": n, "range": r} for k, n, r in use_sites(src, parser)],
+        "skim_decls": lambda: skim_rows(parser),
+        "outline": lambda: [{**r, "range": _place(r)} for r in parser.rows],
+    }
+    return {w: make[w]() for w in wanted}, parser.failure if parser else None
+
+
+def facts(source_files: DataFrame, wanted: tuple[str, ...] = tuple(PROJECTIONS)) -> DataFrame:
+    """file_id, an array for each wanted projection, failure (null for files that parse): one row per stored file.
+
+    A file's facts are bounded by its size. Null texts give no row. ``projection`` unfolds one of them.
+    """
+    keep = {w: _names(PROJECTIONS[w]) for w in wanted}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parsed = [parse(text, wanted) for text in f["text"]]
+            out = {"file_id": f["file_id"]} | {w: [[{c: r[c] for c in keep[w]} for r in found[w]] for found, _ in parsed] for w in wanted}
+            yield pd.DataFrame(out | {"failure": [failure for _, failure in parsed]})
+
+    def struct(columns: str) -> str:
+        return "array<struct<" + re.sub(r"(\w+) (int|string|boolean|struct)", r"\1:\2", columns) + ">>"
+
+    one = spread(source_files.where(F.col("text").isNotNull()).select("file_id", "text"), "file_id")
+    return one.mapInPandas(run, "file_id bigint, " + ", ".join(f"{w} {struct(PROJECTIONS[w])}" for w in wanted) + ", failure string")
+
+
+def projection(found: DataFrame, name: str) -> DataFrame:
+    """The rows of one projection of ``facts``; repeats count once."""
+    return found.select("file_id", F.explode(name).alias("r")).select("file_id", "r.*").distinct()
 
 
 def extract_text(source_files: DataFrame) -> DataFrame:
     """Text units of every file; null texts give none, repeats count once."""
-    rows = lambda text: [{"kind": k, "range": r, "text": x} for k, r, x in text_units(Source(text))]
-    return _over(source_files, rows, f"file_id bigint, kind string, range {_RANGE}, text string")
+    return projection(facts(source_files, ("text_units",)), "text_units")
 
 
 def extract_usages(source_files: DataFrame) -> DataFrame:
     """Use sites of every file."""
-
-    def rows(text: str) -> list[dict]:
-        src = Source(text)
-        return [{"kind": k, "target_name": n, "range": r} for k, n, r in use_sites(src, Parser(src))]
-
-    return _over(source_files, rows, f"file_id bigint, kind string, target_name string, range {_RANGE}")
+    return projection(facts(source_files, ("usages",)), "usages")
 
 
 def extract_skim(source_files: DataFrame) -> DataFrame:
     """Declarations of every file with their verbatim documentation, header and body."""
-    return _over(
-        source_files, skim_rows,
-        "file_id bigint, decl_no int, parent_no int, kind string, name string, doc_text string, doc_start_line int, header_text string, start_line int, end_line int, "
-        "body_inner string, has_body boolean, body_has_line_comment boolean")
+    return projection(facts(source_files, ("skim_decls",)), "skim_decls")
 
 
 def extract_outline(source_files: DataFrame) -> DataFrame:
     """file_id, decl_no, parent_no, kind, name, range: the declaration trees."""
-
-    def rows(text: str) -> list[dict]:
-        return [{**r, "range": {k: r[k] for k in ("start_line", "start_col", "end_line", "end_col")}} for r in Parser(Source(text)).rows]
-
-    return _over(source_files, rows, f"file_id bigint, decl_no int, parent_no int, kind string, name string, range {_RANGE}")
+    return projection(facts(source_files, ("outline",)), "outline")

@@ -8,8 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders that hold no sources of the project.
-PRUNED = {"target", "build", "out", "bin", "node_modules", ".git", ".gradle", ".idea", ".mvn"}
+#: Where build tools and package managers put what they make: Maven, Gradle, the common IDEs, npm. Hidden folders are left out by rule.
+OUTPUT = {"target", "build", "out", "bin", "node_modules"}
 
 
 def walk(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
@@ -31,7 +31,7 @@ def source_roots(root: str, depth: int = 8) -> list[tuple[str, str]]:
     found = []
     for here, dirs, _ in os.walk(root):
         level = os.path.relpath(here, root).count(os.sep) + (here != root)
-        dirs[:] = sorted(d for d in dirs if d not in PRUNED) if level < depth else []
+        dirs[:] = sorted(d for d in dirs if d not in OUTPUT and not d.startswith(".")) if level < depth else []
         rel = os.path.relpath(here, root).replace(os.sep, "/")
         if m := re.search(r"(?:^|/)src/([^/]+)/java$", rel):
             found.append((rel, "TEST" if "test" in m[1].lower() else "MAIN"))
