@@ -75,16 +75,22 @@ def select_declarations(symbols: DataFrame, typed: str) -> DataFrame:
     return live_symbols(symbols).where(qualified_match(F.col("moniker"), typed))
 
 
-def file_lines(source_files: DataFrame) -> DataFrame:
-    """file_id, line, content of each physical line of each distinct file."""
-    s = source_files.where(F.col("text").isNotNull()).groupBy("file_id").agg(F.max("text").alias("text"))
-    return s.select("file_id", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("i", "content")).select("file_id", (F.col("i") + 1).alias("line"), "content")
+def lines_at(source_files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """file_id, line, content of the wanted (file_id, line) places, by physical lines; places outside the file give none.
+
+    The line numbers of a file go to its text, which is moved once at most, and only the wanted lines leave it.
+    """
+    asked = wanted.select("file_id", "line").where(F.col("line") > 0).distinct().groupBy("file_id").agg(F.collect_list("line").alias("lines"))
+    s = source_files.where(F.col("text").isNotNull()).select("file_id", "text").join(asked, "file_id")
+    s = s.select("file_id", "lines", F.split("text", r"\r\n|\n|\r", -1).alias("all"))
+    found = s.select("file_id", F.explode(F.transform("lines", lambda n: F.struct(n.alias("line"), F.get("all", n - 1).alias("content")))).alias("x")).select("file_id", "x.line", "x.content")
+    return found.where(F.col("content").isNotNull()).groupBy("file_id", "line").agg(F.max("content").alias("content"))
 
 
 def definitions(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     """moniker, shown, kind, file_id, line, snippet of every live symbol: the trimmed line its declaration starts on."""
     s = live_symbols(symbols).select("moniker", schema.display(F.col("signature"), F.col("moniker")).alias("shown"), "kind", "file_id", F.col("range.start_line").alias("line"))
-    return s.join(file_lines(source_files), ["file_id", "line"], "left").select("moniker", "shown", "kind", "file_id", "line", java_trim(F.col("content")).alias("snippet"))
+    return s.join(lines_at(source_files, s), ["file_id", "line"], "left").select("moniker", "shown", "kind", "file_id", "line", java_trim(F.col("content")).alias("snippet"))
 
 
 def external_definitions(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -39,6 +39,19 @@ def live_edges(edges: DataFrame, overlay: DataFrame, symbols: DataFrame, edits:
     return e.unionByName(o).distinct()
 
 
+def without_resolved(edges: DataFrame, symbols: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edges without the resolved layers of edited files: their structural edges, and whatever belongs to other files or none."""
+    edited = live_symbols(symbols).select(F.col("moniker").alias("src"), "file_id").join(edits.select("file_id"), "file_id").select("src")
+    return edges.where(F.col("layer") == "structural").unionByName(edges.where(~F.col("layer").eqNullSafe("structural")).join(edited, "src", "left_anti"))
+
+
+def resolved_again(edges: DataFrame, found: DataFrame, symbols: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edges after the edited files were resolved anew: their resolved layers give way to the edges ``found`` for them; a set."""
+    edited = live_symbols(symbols).select(F.col("moniker").alias("src"), "file_id").join(edits.where(~F.col("deleted")).select("file_id"), "file_id").select("src")
+    fresh = found.where(~F.col("layer").eqNullSafe("structural")).join(edited, "src", "left_semi")
+    return without_resolved(edges, symbols, edits).unionByName(fresh.select(edges.columns)).distinct()
+
+
 def newest_by_moniker(symbols: DataFrame, edits: DataFrame) -> DataFrame:
     """One row per moniker: if several files declare it, the one edited last wins, else the largest file_id."""
     w = Window.partitionBy("moniker").orderBy(F.desc_nulls_last("seq"), F.desc("file_id"), F.desc("range"), F.desc("signature"))

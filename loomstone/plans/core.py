@@ -71,14 +71,6 @@ def trigram_intersect(s: S, d: str) -> D:
     return search.trigram_candidates(search.trigram_postings(t(s, d, "symbols")), "Ledger")
 
 
-@query("""SELECT file_id, kind, range.start_line AS start_line, range.start_col AS start_col, range.end_line AS end_line, range.end_col AS end_col, text
-FROM (SELECT DISTINCT * FROM text_units) WHERE kind IN ('COMMENT', 'JAVADOC') ORDER BY ALL""")
-def sink_text(s: S, d: str) -> D:
-    """What the text sink writes: the kinds included, in storage order."""
-    u = t(s, d, "text_units").distinct().where(F.col("kind").isin("COMMENT", "JAVADOC"))
-    return u.select("file_id", "kind", *[F.col(f"range.{c}").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")], "text").sort("file_id", "kind", "start_line", "start_col", "end_line", "end_col", "text")
-
-
 @query(f"""SELECT 'duplicate' AS rule, moniker FROM symbols GROUP BY moniker HAVING count(DISTINCT file_id) > 1
 UNION ALL SELECT DISTINCT 'dangling', moniker FROM symbols WHERE enclosing <> '' AND enclosing NOT IN (SELECT moniker FROM symbols)""")
 def sink_symbols_check(s: S, d: str) -> D:
@@ -332,7 +324,7 @@ def find_definition_external(s: S, d: str) -> D:
 @query(f"WITH {USES}, {_FILE_LINES} SELECT src, dst, us.file_id, us.line, col, regexp_replace(content, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS snippet FROM us LEFT JOIN fl ON fl.file_id = us.file_id AND fl.line = us.line")
 def join_snippet(s: S, d: str) -> D:
     u = graph.use_sites(t(s, d, "edges")).select("src", "dst", "file_id", "line", "col")
-    return u.join(graph.file_lines(t(s, d, "source_files")), ["file_id", "line"], "left").select("src", "dst", "file_id", "line", "col", tx.java_trim(F.col("content")).alias("snippet"))
+    return u.join(graph.lines_at(t(s, d, "source_files"), u), ["file_id", "line"], "left").select("src", "dst", "file_id", "line", "col", tx.java_trim(F.col("content")).alias("snippet"))
 
 
 _INNER = f"""u AS (SELECT DISTINCT file_id, range.start_line AS line, range.start_col AS col, kind, {trim('target_name')} AS target_name FROM usages),
@@ -447,12 +439,6 @@ def overrides_match(s: S, d: str) -> D:
     return graph.overrides(t(s, d, "edges"), t(s, d, "symbols"))
 
 
-@query("""WITH n AS (SELECT DISTINCT walk_start, moniker FROM hierarchy_nodes) SELECT moniker, count(*) AS walks FROM n GROUP BY moniker""")
-def hierarchy_order(s: S, d: str) -> D:
-    """In how many stored walks each supertype stands."""
-    return t(s, d, "hierarchy_nodes").select("walk_start", "moniker").distinct().groupBy("moniker").agg(F.count(F.lit(1)).alias("walks"))
-
-
 @query("""SELECT row_number() OVER (ORDER BY type_ord, dst, src) - 1 AS pos, src, dst, type
 FROM (SELECT DISTINCT src, dst, type, CASE type WHEN 'EXTENDS' THEN 5 WHEN 'IMPLEMENTS' THEN 6 ELSE 7 END AS type_ord FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'OVERRIDES'))""")
 def hierarchy_order_edges(s: S, d: str) -> D:
@@ -461,12 +447,20 @@ def hierarchy_order_edges(s: S, d: str) -> D:
 
 
 @query("WITH c AS (" + _CLOSURE.format(a="src", b="dst") + ") SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node) - 1 AS pos FROM c")
-def hierarchy_order_nodes(s: S, d: str) -> D:
+def hierarchy_order(s: S, d: str) -> D:
     """Supertypes of each start with their position by depth and moniker."""
     return cl.in_order(cl.closure(t(s, d, "edges"), cap=None))
 
 
-@query()
+_ANCHORS = """c(m, cur) AS (SELECT moniker, enclosing FROM ls WHERE kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND enclosing <> ''
+  UNION SELECT m, ls.enclosing FROM c JOIN ls ON ls.moniker = cur WHERE ls.kind NOT IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') AND ls.enclosing <> ''),
+f AS (SELECT m, cur FROM c JOIN ls ON ls.moniker = cur WHERE ls.kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION'))"""
+
+
+@query(f"""WITH RECURSIVE {LIVE}, {EDGES}, {_ANCHORS},
+a AS (SELECT moniker, CASE WHEN kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD', 'ANNOTATION') THEN moniker ELSE f.cur END AS owner FROM ls LEFT JOIN f ON f.m = moniker)
+SELECT DISTINCT CASE WHEN type IN ('EXTENDS', 'IMPLEMENTS') THEN 'SUPERTYPE' ELSE 'TYPEREF' END AS relation, owner, dst AS target, NOT ends_with(dst, '~UNRESOLVED') AS resolved
+FROM e JOIN a ON a.moniker = src WHERE (type IN ('EXTENDS', 'IMPLEMENTS') OR layer = 'typeref') AND owner <> dst AND dst NOT IN ('~java.lang.Object', '')""")
 def file_dependencies(s: S, d: str) -> D:
     return graph.dependencies(t(s, d, "edges"), t(s, d, "symbols"))
 
@@ -516,22 +510,15 @@ def live_union(s: S, d: str) -> D:
     return liveview.live(sym, search.live_symbols(sym), _edits(s, d)).select("moniker", "kind", "file_id", F.col("range.start_line").alias("line"), "name").distinct()
 
 
-@query(f"WITH {_EDITS}, {LIVE}, {EDGES} SELECT e.src, e.dst, e.type, count(*) AS n FROM e LEFT JOIN ls ON ls.moniker = e.src WHERE ls.file_id IS NULL OR ls.file_id NOT IN (SELECT file_id FROM ed) GROUP BY ALL")
-def live_edges(s: S, d: str) -> D:
-    """Edges of sources whose file was not edited."""
-    e = t(s, d, "edges")
-    return liveview.live_edges(e, e.limit(0), t(s, d, "symbols"), _edits(s, d)).groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_EDITS}, {LIVE}, {EDGES} SELECT e.src, e.dst, e.type, count(*) AS n FROM e LEFT JOIN ls ON ls.moniker = e.src WHERE ls.file_id IS NULL OR ls.file_id NOT IN (SELECT file_id FROM ed WHERE deleted) GROUP BY ALL")
-def live_union_edges(s: S, d: str) -> D:
-    """Edges under the overlay of edited files, whose re-indexed slices hold each edge once; live_edges are those kept from the base."""
+def live_edges(s: S, d: str) -> D:
+    """Edges under the overlay of edited files, whose re-indexed slices hold each edge once."""
     e = t(s, d, "edges")
     return liveview.live_edges(e, e, t(s, d, "symbols"), _edits(s, d)).groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_EDITS} SELECT DISTINCT file_id, kind, range.start_line AS line, range.start_col AS col, text FROM text_units WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM ed WHERE deleted)")
-def live_union_text(s: S, d: str) -> D:
+def live_text(s: S, d: str) -> D:
     """Text units under the overlay of edited files, whose re-indexed slices hold each unit once."""
     u = t(s, d, "text_units").select("file_id", "kind", "range", "text")
     return liveview.live(u, u.distinct(), _edits(s, d)).select("file_id", "kind", F.col("range.start_line").alias("line"), F.col("range.start_col").alias("col"), "text").distinct()
@@ -561,10 +548,11 @@ def ids_dedup(s: S, d: str) -> D:
     return liveview.newest_by_moniker(t(s, d, "symbols"), _edits(s, d)).select("moniker", "file_id")
 
 
-@query("SELECT layer, type, count(*) AS n FROM (SELECT DISTINCT * FROM edges WHERE layer = 'structural') GROUP BY ALL")
+@query(f"WITH {_EDITS}, {LIVE}, {EDGES} SELECT layer, type, count(*) AS n FROM e LEFT JOIN ls ON ls.moniker = e.src WHERE layer = 'structural' OR ls.file_id IS NULL OR ls.file_id NOT IN (SELECT file_id FROM ed) GROUP BY ALL")
 def drop_tier2(s: S, d: str) -> D:
-    """Only the structural edges, as after a reset of all resolved layers."""
-    return graph.edge_set(t(s, d, "edges")).where(F.col("layer") == "structural").groupBy("layer", "type").agg(F.count(F.lit(1)).alias("n"))
+    """Edges after the resolved layers of all edited files were reset; their structural edges stay."""
+    e = liveview.without_resolved(graph.edge_set(t(s, d, "edges")), t(s, d, "symbols"), _edits(s, d))
+    return e.groupBy("layer", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- freshness
@@ -603,11 +591,17 @@ def node_diff(s: S, d: str) -> D:
     return fresh.node_diff(sym, search.live_symbols(sym).select("file_id", "moniker", F.col("name").alias("signature")))
 
 
-@query("SELECT DISTINCT src AS moniker FROM edges WHERE type = 'IMPLEMENTS'")
+@query(f"""WITH {_EDITS}, {LIVE}, h AS (SELECT DISTINCT src, dst, type FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS')),
+n AS (SELECT h.* FROM h LEFT JOIN ls ON ls.moniker = h.src LEFT JOIN ls x ON x.moniker = h.dst WHERE (ls.file_id IS NULL OR ls.file_id NOT IN (SELECT file_id FROM ed WHERE deleted)) AND (x.file_id IS NULL OR x.file_id NOT IN (SELECT file_id FROM ed WHERE deleted)))
+SELECT DISTINCT src AS moniker FROM (SELECT * FROM h EXCEPT SELECT * FROM n)""")
 def hierarchy_diff(s: S, d: str) -> D:
-    """Types that change if IMPLEMENTS edges were withdrawn."""
-    h = t(s, d, "edges").where(F.col("type").isin("EXTENDS", "IMPLEMENTS"))
-    return fresh.hierarchy_diff(h, h.where(F.col("type") == "EXTENDS"))
+    """Types whose supertypes change as the withdrawn files go, at either end of the edge."""
+    e, sym, edits = t(s, d, "edges"), t(s, d, "symbols"), _edits(s, d)
+    gone = edits.where("deleted")
+    lost = search.live_symbols(sym).join(gone, "file_id", "left_semi").select(F.col("moniker").alias("dst"))
+    now = liveview.live_edges(e, e, sym, edits).join(lost, "dst", "left_anti")
+    h = lambda df: df.where(F.col("type").isin("EXTENDS", "IMPLEMENTS"))
+    return fresh.hierarchy_diff(h(e), h(now))
 
 
 _CHANGED = f"ch AS (SELECT DISTINCT moniker FROM symbols WHERE kind IN ('INTERFACE', 'RECORD')), nm AS (SELECT DISTINCT {trim('name')} AS name FROM symbols WHERE moniker IN (SELECT moniker FROM ch)), ow AS (SELECT DISTINCT moniker, file_id FROM symbols WHERE file_id >= 0)"

@@ -36,6 +36,13 @@ def extract_skim(s: S, d: str) -> D:
     return java.extract_skim(t(s, d, "source_files"))
 
 
+@query()
+def extract_all(s: S, d: str) -> D:
+    """All four projections from one parse of each file: how many rows of each, and what did not parse."""
+    found = java.facts(t(s, d, "source_files")).distinct()
+    return found.select("file_id", *[F.size(c).alias(c) for c in java.PROJECTIONS], "failure")
+
+
 @query()
 def extract_outline(s: S, d: str) -> D:
     return _flat(java.extract_outline(t(s, d, "source_files")), "file_id", "decl_no", "parent_no", "kind", "name")
@@ -82,4 +89,11 @@ def call_sessions(s: S, d: str) -> D:
 @query("SELECT path, max(mtime) AS mtime, arg_max(content_hash, (mtime, content_hash)) AS content_hash FROM files GROUP BY path")
 def latest_state(s: S, d: str) -> D:
     """The state that the change feed keeps: the latest fingerprint of each path."""
-    return feed.merge_latest(None, feed.changes(t(s, d, "files")).select("path", "mtime", "content_hash"), "path", "mtime")
+    return feed.merge_latest(None, t(s, d, "files").select("path", "mtime", "content_hash"), "path", "mtime")
+
+
+@query("""SELECT path, mtime, content_hash FROM (SELECT *, row_number() OVER w AS n, lag(content_hash) OVER w AS before FROM (SELECT DISTINCT path, mtime, content_hash FROM files)
+WINDOW w AS (PARTITION BY path ORDER BY mtime, content_hash NULLS FIRST)) WHERE n = 1 OR content_hash IS DISTINCT FROM before""")
+def change_feed(s: S, d: str) -> D:
+    """Reports of the file table whose content differs from the one before."""
+    return feed.changes(t(s, d, "files").select("path", "mtime", "content_hash"))

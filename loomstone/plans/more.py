@@ -8,39 +8,64 @@ from pyspark.sql import functions as F
 from loomstone import schema
 from loomstone.functions import text as tx
 from loomstone.operators import closure as cl
-from loomstone.operators import fresh, graph, match, quality, search, shape
-from loomstone.operators.ids import dense_ids as number
+from loomstone.operators import fresh, graph, liveview, match, quality, search, shape
 from loomstone.operators.match import SearchSpec
-from loomstone.plans.base import EDGES, LIVE, PATHS, QUERIES, SQL, USES, query, trim
-from loomstone.plans.core import _PAIRS, _edits, _recall, _EDITS
+from loomstone.plans.base import EDGES, LINES, LIVE, PATHS, SQL, USES, query, trim
+from loomstone.plans.core import _EDITS, _GREP, _PAIRS, _TRI, _edits, _grep, _recall
+from loomstone.runtime import scratch
 from loomstone.runtime import table as t
+from loomstone.sources.store import Store
 from loomstone.streaming import feed
 
 S, D = SparkSession, DataFrame
 
 
-# ---- what sinks write
+# ---- what sinks write: each is stored and read back
 
 
-@query(f"WITH {LIVE} SELECT row_number() OVER (ORDER BY moniker) - 1 AS pos, moniker, kind, file_id FROM ls")
+def _stored(s: S, name: str, df: D) -> D:
+    """``df`` as the table ``name`` of a new store, read back from it."""
+    store = Store(s, scratch(s))
+    store.write({name: df})
+    return store.read(name)
+
+
+@query(f"WITH {LIVE} SELECT moniker, kind, file_id, name, signature, range.start_line AS line FROM ls")
 def sink_symbols(s: S, d: str) -> D:
-    """Symbols in key order, as stored."""
-    return number(search.live_symbols(t(s, d, "symbols")).select("moniker", "kind", "file_id"), "moniker", name="pos")
+    return _stored(s, "symbols", search.live_symbols(t(s, d, "symbols"))).select("moniker", "kind", "file_id", "name", "signature", F.col("range.start_line").alias("line"))
+
+
+_STORED_EDGES = "SELECT src, dst, type, layer, cause, occ.file_id AS file_id, occ.range.start_line AS line, occ.range.start_col AS col, occ.role AS role, copy FROM e, (SELECT unnest(['by src', 'by dst']) AS copy)"
 
 
-@query(f"WITH {EDGES} SELECT src, dst, type, layer, cause, occ.file_id AS file_id, occ.range.start_line AS line, occ.range.start_col AS col, occ.role AS role FROM e")
+@query(f"WITH {EDGES} {_STORED_EDGES}")
 def sink_edges(s: S, d: str) -> D:
-    """Edges partitioned and sorted by src, as in the forward copy."""
-    e = graph.edge_set(t(s, d, "edges")).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst", "type")
-    return e.select("src", "dst", "type", "layer", "cause", F.col("occ.file_id").alias("file_id"), F.col("occ.range.start_line").alias("line"), F.col("occ.range.start_col").alias("col"), F.col("occ.role").alias("role"))
+    """Both copies of the edges, sorted by src and by dst."""
+    store, e = Store(s, scratch(s)), graph.edge_set(t(s, d, "edges"))
+    store.write({"edges": e, "edges_by_dst": e})
+    both = store.read("edges").withColumn("copy", F.lit("by src")).unionByName(store.read("edges_by_dst").withColumn("copy", F.lit("by dst")))
+    return both.select("src", "dst", "type", "layer", "cause", F.col("occ.file_id").alias("file_id"), F.col("occ.range.start_line").alias("line"), F.col("occ.range.start_col").alias("col"), F.col("occ.role").alias("role"), "copy")
 
 
-@query("SELECT DISTINCT path, file_id, size, mtime, content_hash, source_set FROM files ORDER BY path")
+@query("SELECT DISTINCT path, file_id, size, mtime, content_hash, source_set FROM files")
 def sink_files(s: S, d: str) -> D:
-    return t(s, d, "files").distinct().sort("path")
+    return _stored(s, "files", t(s, d, "files").distinct())
+
+
+@query("""SELECT DISTINCT file_id, kind, range.start_line AS start_line, range.start_col AS start_col, range.end_line AS end_line, range.end_col AS end_col, text FROM text_units""")
+def sink_text(s: S, d: str) -> D:
+    u = _stored(s, "text_units", t(s, d, "text_units").select("file_id", "kind", "range", "text").distinct())
+    return u.select("file_id", "kind", *[F.col(f"range.{c}").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")], "text")
+
 
+@query(SQL["postings_build"])
+def sink_usage_postings(s: S, d: str) -> D:
+    return _stored(s, "usage_postings", graph.usage_postings(t(s, d, "usages")))
 
-QUERIES["sink_usage_postings"], SQL["sink_usage_postings"] = QUERIES["postings_build"], SQL["postings_build"]
+
+@query(f"WITH {LIVE}, {_TRI} SELECT tri, moniker FROM tri")
+def sink_trigrams(s: S, d: str) -> D:
+    return _stored(s, "trigrams", search.trigram_postings(t(s, d, "symbols"))).select("tri", "moniker")
 
 
 @query(f"SELECT DISTINCT file_id FROM usages WHERE {trim('target_name')} = 'append'")
@@ -49,9 +74,6 @@ def scan_usage_postings(s: S, d: str) -> D:
     return t(s, d, "usages").where(tx.strip_space(F.col("target_name")) == "append").select("file_id").distinct()
 
 
-QUERIES["sink_trigrams"], SQL["sink_trigrams"] = QUERIES["scan_trigrams"], SQL["scan_trigrams"]
-
-
 @query("SELECT DISTINCT moniker, kind, flags, enclosing, file_id, name, signature, range.start_line || ':' || range.start_col || '-' || range.end_line || ':' || range.end_col AS place FROM symbols")
 def dump_symbols(s: S, d: str) -> D:
     r = F.col("range")
@@ -89,9 +111,6 @@ def filter_live(s: S, d: str) -> D:
     return t(s, d, "symbols").where("file_id >= 0").join(_edits(s, d), "file_id", "left_anti").select("moniker", "file_id").distinct()
 
 
-QUERIES["edge_map"], SQL["edge_map"] = QUERIES["role_map"], SQL["role_map"]
-
-
 @query("SELECT DISTINCT src, dst, type FROM edges WHERE type <> 'CONTAINS' AND src <> dst AND dst <> '' AND dst NOT IN ('~java.lang.Object', '~java.lang.String')")
 def dep_noise_filter(s: S, d: str) -> D:
     e = t(s, d, "edges")
@@ -133,34 +152,23 @@ def join_position(s: S, d: str) -> D:
     return graph.innermost(p, r, ["file_id", "line", "col"])
 
 
-QUERIES["innermost"], SQL["innermost"] = QUERIES["join_enclosing"], SQL["join_enclosing"]
-
-
-@query(f"WITH {LIVE} SELECT file_id, range.start_line AS line, range.start_col AS col, moniker, regexp_replace(moniker, '[^#/]*$', '') AS owner FROM ls WHERE kind IN ('METHOD', 'CONSTRUCTOR', 'FIELD', 'ENUM_CONSTANT')")
+@query(f"""WITH {LIVE}, m AS (SELECT *, regexp_replace(moniker, '[^#/]*$', '') AS owner FROM ls WHERE kind IN ('METHOD', 'CONSTRUCTOR', 'FIELD', 'ENUM_CONSTANT'))
+SELECT m.file_id, m.range.start_line AS line, m.range.start_col AS col, m.moniker, m.owner, o.kind AS owner_kind, o.range.start_line AS owner_line FROM m LEFT JOIN ls o ON o.moniker = m.owner""")
 def owner_join(s: S, d: str) -> D:
-    """Declaration position to the owning type."""
-    m = search.live_symbols(t(s, d, "symbols")).where(F.col("kind").isin("METHOD", "CONSTRUCTOR", "FIELD", "ENUM_CONSTANT"))
-    return m.select("file_id", F.col("range.start_line").alias("line"), F.col("range.start_col").alias("col"), "moniker", F.expr("substring(moniker, 1, length(moniker) - length(regexp_extract(moniker, '([^#/]*)$', 1)))").alias("owner"))
-
-
-@query("""WITH h AS (SELECT src, dst, min(CASE type WHEN 'EXTENDS' THEN 5 ELSE 6 END) AS o FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS') AND src <> dst GROUP BY ALL)
-SELECT src AS start, dst AS node, CASE o WHEN 5 THEN 'EXTENDS' ELSE 'IMPLEMENTS' END AS via FROM h""")
-def bfs_first_parent(s: S, d: str) -> D:
-    """The edge that finds each node of the first level."""
-    return cl.closure(t(s, d, "edges")).where("depth = 1").select("start", "node", "via")
+    """Declaration position to the type that owns it, with that type's kind and place."""
+    live = search.live_symbols(t(s, d, "symbols"))
+    m = live.where(F.col("kind").isin("METHOD", "CONSTRUCTOR", "FIELD", "ENUM_CONSTANT")).select(
+        "file_id", F.col("range.start_line").alias("line"), F.col("range.start_col").alias("col"), "moniker", F.expr("substring(moniker, 1, length(moniker) - length(regexp_extract(moniker, '([^#/]*)$', 1)))").alias("owner"))
+    o = live.select(F.col("moniker").alias("owner"), F.col("kind").alias("owner_kind"), F.col("range.start_line").alias("owner_line"))
+    return m.join(o, "owner", "left").select("file_id", "line", "col", "moniker", "owner", "owner_kind", "owner_line")
 
 
 @query()
-def bfs_first_parent_all(s: S, d: str) -> D:
-    """The edge from its first discovered parent that finds each node, at all depths and without the cap; bfs_first_parent is the first level."""
+def bfs_first_parent(s: S, d: str) -> D:
+    """The edge from its first discovered parent that finds each node, at all depths and without the cap."""
     return cl.closure(t(s, d, "edges"), cap=None).select("start", "node", "depth", "via")
 
 
-@query(SQL["dense_node_ids"])
-def dense_ids(s: S, d: str) -> D:
-    return QUERIES["dense_node_ids"](s, d)
-
-
 _SIG = f"WITH {LIVE}, o AS (SELECT moniker FROM symbols WHERE file_id >= 0 GROUP BY moniker HAVING count(DISTINCT range) > 1), h AS (SELECT DISTINCT src AS moniker FROM edges WHERE type = 'IMPLEMENTS')"
 
 
@@ -189,11 +197,12 @@ def cascade_refresh(s: S, d: str) -> D:
     return fresh.invalidated(moved, t(s, d, "edges"), t(s, d, "usages"), sym)
 
 
-@query(f"WITH {EDGES} SELECT layer, type, count(*) AS n FROM e WHERE layer IN ('structural', 'hierarchy') GROUP BY ALL UNION ALL SELECT layer, type, count(*) FROM e WHERE layer IN ('value', 'typeref') GROUP BY ALL")
+@query(f"""WITH {_EDITS}, {LIVE}, {EDGES}, mine AS (SELECT e.*, ls.file_id IS NOT NULL AND ls.file_id IN (SELECT file_id FROM ed) AS edited, coalesce(ls.file_id IN (SELECT file_id FROM ed WHERE deleted), false) AS gone FROM e LEFT JOIN ls ON ls.moniker = e.src)
+SELECT layer, type, count(*) AS n FROM mine WHERE layer = 'structural' OR NOT edited OR (NOT gone AND cause IS NULL) GROUP BY ALL""")
 def slice_union(s: S, d: str) -> D:
-    """The structural slice and the resolved layers put together again."""
+    """Structural slices and the resolved layers after the edited files were resolved again, which finds their edges without a failure."""
     e = graph.edge_set(t(s, d, "edges"))
-    both = e.where(F.col("layer").isin("structural", "hierarchy")).unionByName(e.where(F.col("layer").isin("value", "typeref")))
+    both = liveview.resolved_again(e, e.where("cause IS NULL"), t(s, d, "symbols"), _edits(s, d))
     return both.groupBy("layer", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -210,18 +219,34 @@ def macro_recall(s: S, d: str) -> D:
     return quality.micro_macro(_recall(s, d)).select("macro_recall")
 
 
-QUERIES["grep_files"], SQL["grep_files"] = QUERIES["grep_per_file"], SQL["grep_per_file"]
-QUERIES["grep_count"], SQL["grep_count"] = QUERIES["count_header"], SQL["count_header"]
+@query(_GREP + "SELECT DISTINCT path FROM g WHERE path IS NOT NULL")
+def grep_files(s: S, d: str) -> D:
+    """The files with a hit."""
+    return _grep(s, d).where(F.col("path").isNotNull()).select("path").distinct()
 
 
-@query()
+@query(_GREP + "SELECT count(*) || ' matches across ' || count(DISTINCT path) || CASE WHEN count(DISTINCT path) = 1 THEN ' file' ELSE ' files' END AS shown FROM g")
+def grep_count(s: S, d: str) -> D:
+    """The count as it is shown."""
+    n = search.count_header(_grep(s, d))
+    return n.select(F.concat(F.col("total").cast("string"), F.lit(" matches across "), F.col("files").cast("string"), F.when(F.col("files") == 1, " file").otherwise(" files")).alias("shown"))
+
+
+_WORDS = ("range", "limit", "cache", "session", "header", "index", "names", "lock", "files", "rows")
+
+
+@query(rf"""WITH {LINES}, {PATHS}, q AS (SELECT unnest([{", ".join(f"'{w}'" for w in _WORDS)}]) AS query),
+h AS (SELECT query, coalesce(path, '') AS path, line, regexp_replace(content, '\r$', '') AS snippet FROM l JOIN q ON contains(content, query) LEFT JOIN paths USING (file_id)),
+pf AS (SELECT query, path, sum(length(path) + length(line::VARCHAR) + 2 + length(snippet) + 2) AS f, sum(length(path) + length(line::VARCHAR) + 2) AS l_, length(path) + length(count(*)::VARCHAR) + 3 AS r FROM h GROUP BY query, path),
+sz AS (SELECT query, floor((sum(f) + 3) / 4)::BIGINT AS f, floor((sum(l_) + 3) / 4)::BIGINT AS l_, floor((sum(r) + 3) / 4)::BIGINT AS r FROM pf GROUP BY query)
+SELECT query, f AS "full", l_ AS locations, r AS rollup, CASE WHEN f <= 4000 THEN 'full' WHEN l_ <= 4000 THEN 'locations' WHEN r <= 4000 THEN 'rollup' ELSE 'over' END AS rung FROM sz""".replace("\\\\r", "\\r"))
 def budget_grep(s: S, d: str) -> D:
-    """The rung of the budget ladder for text searches of ten words, one answer each."""
-    out = None
-    for word in ("range", "limit", "cache", "session", "header", "index", "names", "lock", "files", "rows"):
-        h = match.with_path(search.text_hits(t(s, d, "text_units"), SearchSpec(word)), t(s, d, "files")).select(F.lit(word).alias("query"), F.coalesce("path", F.lit("")).alias("path"), "line", "snippet")
-        out = h if out is None else out.unionByName(h)
-    return shape.rung_sizes(out, "query").withColumn("rung", shape.choose_rung(shape.DEFAULT_CAP))
+    """The rung of the budget ladder for text searches of ten words, one answer each, from one scan."""
+    lines = search.text_lines(t(s, d, "text_units"))
+    words = F.filter(F.array(*[F.lit(w) for w in _WORDS]), lambda w: F.contains(F.col("content"), w))
+    hits = lines.select("file_id", "line", F.regexp_replace("content", "\r$", "").alias("snippet"), F.explode(words).alias("query"))
+    h = match.with_path(hits, t(s, d, "files")).select("query", F.coalesce("path", F.lit("")).alias("path"), "line", "snippet")
+    return shape.rung_sizes(h, "query").withColumn("rung", shape.choose_rung(shape.DEFAULT_CAP))
 
 
 @query(f"WITH {LIVE}, {PATHS} SELECT moniker, coalesce(path, '?') || ':' || range.start_line || '  ' || coalesce(signature, moniker) AS shown FROM ls LEFT JOIN paths USING (file_id)")

@@ -37,6 +37,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, gone when the session ends."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, **counts: Column) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: iterative plans stay short.
 

@@ -164,7 +164,7 @@ def test_first_parents_are_a_queue(spark, tmp_path):
                     want[start, b] = (depth[b], k)
                     queue.append(b)
         differ += sum(len({k for x in depth if depth[x] == n - 1 for y, k in out.get(x, []) if y == b}) > 1 for b, n in depth.items() if n > 1)
-    got = {(r["start"], r["node"]): (r["depth"], r["via"]) for r in queries()["bfs_first_parent_all"](spark, str(tmp_path)).collect()}
+    got = {(r["start"], r["node"]): (r["depth"], r["via"]) for r in queries()["bfs_first_parent"](spark, str(tmp_path)).collect()}
     assert got == want and differ > 20  # nodes whose parents disagree
 
 
@@ -174,7 +174,7 @@ def test_hierarchy_orders(spark, tmp_path):
     spark.createDataFrame([edge(*p) for p in pairs * 2], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
     edges = sorted(tuple(r) for r in queries()["hierarchy_order_edges"](spark, str(tmp_path)).collect())
     assert edges == [(0, "z", "b", "EXTENDS"), (1, "m", "c", "EXTENDS"), (2, "a", "m", "EXTENDS"), (3, "z", "y", "IMPLEMENTS"), (4, "a", "z", "IMPLEMENTS"), (5, "m", "y", "OVERRIDES")]
-    nodes = {(r["start"], r["pos"]): r["node"] for r in queries()["hierarchy_order_nodes"](spark, str(tmp_path)).collect()}
+    nodes = {(r["start"], r["pos"]): r["node"] for r in queries()["hierarchy_order"](spark, str(tmp_path)).collect()}
     assert [nodes["a", i] for i in range(5)] == ["m", "z", "b", "c", "y"] and nodes["z", 0] == "b" and nodes["m", 0] == "c" and len(nodes) == 8
 
 

@@ -10,8 +10,8 @@ from loomstone.operators.ids import dense_ids
 from loomstone.operators.match import SearchSpec, path_matches, qualified_match
 from loomstone.plans import registry
 from loomstone.runtime import table
-from loomstone.sources import calllog, java, walk
-from loomstone.sources.store import FormatError, Store, index_tables
+from loomstone.sources import calllog, indexer, java, walk
+from loomstone.sources.store import FormatError, Locked, Store, index_tables
 from loomstone.streaming import feed
 from pyspark.sql import functions as F
 
@@ -117,8 +117,8 @@ def test_live_edges_and_text_of_edited_files(spark, tmp_path):
     for name, (rows, schema_) in tables.items():
         spark.createDataFrame(rows, schema_).write.parquet(str(tmp_path / f"{name}.parquet"))
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert {(r["src"], r["n"]) for r in run("live_union_edges")} == {("s0", 1), ("s1", 2), ("~out", 1)}
-    assert sorted(r["text"] for r in run("live_union_text")) == ["t01", "t02", "t11", "t12"]
+    assert {(r["src"], r["n"]) for r in run("live_edges")} == {("s0", 1), ("s1", 2), ("~out", 1)}
+    assert sorted(r["text"] for r in run("live_text")) == ["t01", "t02", "t11", "t12"]
 
 
 def test_valid_prefix(spark):
@@ -218,6 +218,54 @@ def test_extraction_matches_the_tables(spark):
     assert {tuple(r) for r in table(spark, SF, "skim_decls").where("name = trim(name)").select(*cols).collect()} <= have
 
 
+def test_one_parse_gives_what_each_extractor_gives(spark):
+    sources = table(spark, SF, "source_files")
+    found = java.facts(sources)
+    for name, single in (("text_units", java.extract_text), ("usages", java.extract_usages), ("skim_decls", java.extract_skim), ("outline", java.extract_outline)):
+        a, b = java.projection(found, name), single(sources)
+        assert a.columns == b.columns and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert found.where("failure IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("text,failure", [("class A { void m() { x(); }", "the text ends inside the declaration of A"), ("class A { int f", "the text ends inside the declaration of A"), ("class A {} ", None), ("", None), ("class A { void m(", "the text ends inside the declaration of m")])
+def test_failures_are_told(text, failure):
+    found, said = java.parse(text, ("outline",))
+    assert said == failure and all(r["range"]["end_line"] for r in found["outline"])
+
+
+def test_index_and_reindex(spark, tmp_path):
+    root = tmp_path / "proj/src/main/java/p"
+    root.mkdir(parents=True)
+    (root / "A.java").write_text("package p;\n/** Holds rows. */\nclass A {\n  void m() { B.go(); }\n}\n")
+    (root / "B.java").write_text("package p;\nclass B { static void go() { }\n")
+    store = Store(spark, str(tmp_path / "index"))
+    assert indexer.index_repo(store, str(tmp_path / "proj")) == 1
+    monikers = lambda: {r["moniker"] for r in store.read("symbols").collect()}
+    assert monikers() == {"p/A#", "p/A#m().", "p/B#", "p/B#go()."}
+    assert {(r["src"], r["dst"]) for r in store.read("edges").collect()} == {("p/A#", "p/A#m()."), ("p/B#", "p/B#go().")}
+    assert [r["failure"] for r in indexer.failures(store).collect()] == ["the text ends inside the declaration of B"]
+    assert {r["target_name"] for r in store.read("usages").collect()} >= {"go"}
+    path = {r["path"].rsplit("/", 1)[1]: r["path"] for r in store.read("files").collect()}
+    ids = {r["path"]: r["file_id"] for r in store.read("files").collect()}
+    walked = spark.createDataFrame([
+        (path["B.java"], 30, 5, "package p;\nclass B { int f; }\n"), ("src/main/java/p/C.java", 9, 5, "package p;\nclass C { }\n"), (path["A.java"], 0, 5, None)], "path string, size bigint, mtime bigint, text string")
+    assert indexer.reindex(store, walked) == 2
+    assert monikers() == {"p/B#", "p/B#f.", "p/C#"}
+    assert indexer.failures(store).count() == 0
+    now = {r["path"]: r["file_id"] for r in store.read("files").collect()}
+    assert now[path["B.java"]] == ids[path["B.java"]] and path["A.java"] not in now and len(set(now.values()) | set(ids.values())) == 3
+    assert {(r["src"], r["dst"]) for r in store.read("edges").collect()} == {("p/B#", "p/B#f.")}
+
+
+def test_resolved_again(spark):
+    syms = spark.createDataFrame([(f"s{i}", "CLASS", 0, None, i, (1, 1, 2, 1), f"s{i}", None) for i in range(3)], schema.SCHEMAS["symbols"])
+    row = lambda s, d, layer: (s, d, "CALLS", layer, None, None)
+    base = spark.createDataFrame([row("s0", "old", "value"), row("s0", "in", "structural"), row("s1", "kept", "value"), row("s2", "gone", "value"), row("~x", "y", "value")], schema.SCHEMAS["edges"])
+    found = spark.createDataFrame([row("s0", "new", "value"), row("s1", "other", "value"), row("s2", "late", "value"), row("s0", "again", "structural")], schema.SCHEMAS["edges"])
+    edits = spark.createDataFrame([(0, 1, False), (2, 1, True)], "file_id bigint, seq bigint, deleted boolean")
+    assert {(r["src"], r["dst"]) for r in liveview.resolved_again(base, found, syms, edits).collect()} == {("s0", "in"), ("s0", "new"), ("s1", "kept"), ("~x", "y")}
+
+
 def test_moniker_composition(spark):
     skim = spark.createDataFrame(
         [(1, 0, None, "CLASS", "A", "class A<T>", 1), (1, 1, 0, "CLASS", "B", "class B", 2), (1, 2, 1, "METHOD", "m", "Map<K, V> m(final Map<K, List<V>> a, @X(1) int... b)", 3), (1, 3, 1, "CONSTRUCTOR", "B", "B()", 4), (1, 4, 0, "FIELD", "f", "int f;", 5)],
@@ -240,6 +288,15 @@ def test_store(spark, tmp_path):
     assert store.stats()["symbols"] > 0
     with pytest.raises(PermissionError):
         Store(spark, str(tmp_path / "index"), read_only=True).write({})
+    assert not (tmp_path / "index/v=000002/symbols").exists()  # tables that stay are not copied
+    (tmp_path / "index/LOCK").write_text("somebody")
+    with pytest.raises(Locked):
+        store.write({"files": tables["files"]})
+    assert store.version == 2
+    store.unlock()
+    assert store.write({"files": tables["files"].limit(1)}) == 3 and not (tmp_path / "index/LOCK").exists()
+    (tmp_path / "index/CURRENT").write_text("2")
+    (tmp_path / "index/.CURRENT.crc").unlink(missing_ok=True)
     (tmp_path / "index/v=000002/MANIFEST.json").write_text('{"format": 99, "tables": {}}')
     (tmp_path / "index/v=000002/.MANIFEST.json.crc").unlink(missing_ok=True)
     with pytest.raises(FormatError):
@@ -262,16 +319,55 @@ def test_calls_round_trip(spark, tmp_path):
     assert calllog.read_calls(spark, str(tmp_path / "log")).count() == calls.count()
 
 
+def _feed(spark, tmp_path, on_change=None):
+    q = feed.keep_latest(feed.stream(spark, str(tmp_path / "in"), "files", 2), str(tmp_path / "out"), str(tmp_path / "cp"), on_change=on_change)
+    q.awaitTermination()
+    at = (tmp_path / "out/latest").read_text()
+    return {r["path"]: (r["mtime"], r["content_hash"]) for r in spark.read.parquet(str(tmp_path / f"out/state={at}")).collect()}
+
+
+def _report(spark, tmp_path, *row):
+    spark.createDataFrame([row], schema.SCHEMAS["files"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
 def test_stream_keeps_latest(spark, tmp_path):
-    rows = [("p1", 1, 1, 10, "h1", "MAIN"), ("p1", 1, 1, 30, "h3", "MAIN"), ("p1", 1, 1, 20, "h2", "MAIN"), ("p2", 2, 1, 5, None, "TEST"), ("p1", 1, 1, 10, "h1", "MAIN")]
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema.SCHEMAS["files"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for r in [("p1", 1, 1, 10, "h1", "MAIN"), ("p1", 1, 1, 30, "h3", "MAIN"), ("p1", 1, 1, 20, "h2", "MAIN"), ("p2", 2, 1, 5, None, "TEST"), ("p1", 1, 1, 10, "h1", "MAIN")]:
+        _report(spark, tmp_path, *r)
     for _ in range(2):  # a second run finds nothing new
-        q = feed.keep_latest(feed.changes(feed.stream(spark, str(tmp_path / "in"), "files", 2)), str(tmp_path / "out"), str(tmp_path / "cp"))
-        q.awaitTermination()
-    at = spark.read.text(str(tmp_path / "out/latest")).first()[0]
-    got = {r["path"]: (r["mtime"], r["content_hash"]) for r in spark.read.parquet(str(tmp_path / f"out/state={at}")).collect()}
-    assert got == {"p1": (30, "h3"), "p2": (5, None)}
+        assert _feed(spark, tmp_path) == {"p1": (30, "h3"), "p2": (5, None)}
+
+
+def test_stream_reports_a_return_to_earlier_content(spark, tmp_path):
+    seen = []
+    note = lambda batch, no: seen.extend((r["mtime"], r["content_hash"]) for r in batch.collect())
+    for mtime, content in ((1, "a"), (2, "b"), (3, "a"), (4, "a"), (2, "b")):
+        _report(spark, tmp_path, "p", 1, 1, mtime, content, "MAIN")
+        _feed(spark, tmp_path, note)
+    assert seen == [(1, "a"), (2, "b"), (3, "a")]
+
+
+def test_a_state_that_cannot_be_read_is_not_replaced(spark, tmp_path):
+    import shutil
+
+    from pyspark.errors import StreamingQueryException
+
+    for i in range(4):
+        _report(spark, tmp_path, f"p{i}", i, 1, 1, "a", "MAIN")
+    before = _feed(spark, tmp_path)
+    at = (tmp_path / "out/latest").read_text()
+    shutil.move(tmp_path / f"out/state={at}", tmp_path / "aside")
+    _report(spark, tmp_path, "new", 9, 1, 1, "a", "MAIN")
+    with pytest.raises(StreamingQueryException):
+        _feed(spark, tmp_path)
+    assert (tmp_path / "out/latest").read_text() == at
+    shutil.move(tmp_path / "aside", tmp_path / f"out/state={at}")
+    assert _feed(spark, tmp_path) == before | {"new": (1, "a")}
+
+
+def test_changes_of_a_batch(spark):
+    df = spark.createDataFrame([("p", 1, "a"), ("p", 1, "a"), ("p", 2, "a"), ("p", 3, None), ("p", 4, None), ("q", 1, None), (None, 1, "x")], "path string, mtime bigint, content_hash string")
+    assert {tuple(r) for r in feed.changes(df).collect()} == {("p", 1, "a"), ("p", 3, None), ("q", 1, None), (None, 1, "x")}
+    assert feed.changes(df.limit(0)).count() == 0
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
