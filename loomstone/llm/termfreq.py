@@ -22,6 +22,9 @@ BLOCK = 1 << BLOCK_BITS
 #: Partial arrays a task holds before it passes them on (16 KB each).
 HELD = 2048
 
+#: A term in more (file, term) cells than this, and in more than one of MOST_HOT of all, is hot.
+LEAST_HOT, MOST_HOT = 1 << 20, 1000
+
 _ARRAYS = "block bigint, occurrences array<bigint>, presence array<bigint>"
 
 
@@ -70,16 +73,26 @@ def _sum_arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def frequencies(rows: DataFrame) -> DataFrame:
+def _encode(cells: DataFrame, dictionary: DataFrame, hot_above: int, most: int) -> DataFrame:
+    """``cells`` with the id of their term. Terms with more than ``hot_above`` cells, of which there are at most ``MOST_HOT``, are sent to the cells, which stay where they are; others meet by term."""
+    key = ["field", "term"]
+    ids = dictionary.select(*key, "id", "cells")
+    if most <= hot_above:
+        return cells.join(ids, key)
+    hot = F.broadcast(ids.where(F.col("cells") > hot_above))
+    return cells.join(hot, key).unionByName(cells.join(hot, key, "left_anti").join(ids.where(F.col("cells") <= hot_above), key))
+
+
+def frequencies(rows: DataFrame, least_hot: int = LEAST_HOT) -> DataFrame:
     """field, term, n_rows, n_files of every (field, term) of ``occurrences`` frames.
 
     n_files counts distinct file_id; rows with a null file_id count in n_rows only. An empty
     input gives an empty result. A term that owns a third of all rows is one row per file after
     the map-side combined grouping, and one array cell per task after that.
     """
-    cells = cut(rows.groupBy("field", "term", "file_id").agg(F.count(F.lit(1)).alias("n")))
-    dictionary = cut(cells.select("field", "term").distinct().withColumn("id", F.monotonically_increasing_id()))
-    encoded = cells.join(dictionary, ["field", "term"]).select("id", "n", F.col("file_id").isNotNull().cast("int").alias("present"))
+    cells = cut(rows.groupBy("field", "term", "file_id").agg(F.count(F.lit(1)).alias("n")), total=F.count(F.lit(1)))
+    dictionary = cut(cells.groupBy("field", "term").agg(F.count(F.lit(1)).alias("cells")).withColumn("id", F.monotonically_increasing_id()), most=F.max("cells"))
+    encoded = _encode(cells, dictionary, max(least_hot, cells.counts["total"] // MOST_HOT), dictionary.counts["most"]).select("id", "n", F.col("file_id").isNotNull().cast("int").alias("present"))
     partial = encoded.mapInPandas(_accumulate, _ARRAYS)
     summed = partial.repartition("block").sortWithinPartitions("block").mapInPandas(_sum_arrays, _ARRAYS)
     counts = summed.select("block", F.posexplode(F.arrays_zip("occurrences", "presence")).alias("pos", "c")).select(

@@ -104,6 +104,8 @@ def test_frequencies_against_counts(spark):
                 files.add(f)
     got = {r["term"]: (r["n_rows"], r["n_files"]) for r in termfreq.frequencies(termfreq.occurrences("f", df, "target_name")).collect()}
     assert got == {k: (n, len(s)) for k, (n, s) in want.items()}
+    hot = {r["term"]: (r["n_rows"], r["n_files"]) for r in termfreq.frequencies(termfreq.occurrences("f", df, "target_name"), least_hot=20).collect()}
+    assert hot == got
     assert termfreq.frequencies(termfreq.occurrences("f", df.limit(0), "target_name")).count() == 0
     marks = {r["n_files"]: r["mark"] for r in termfreq.marked(spark.createDataFrame([("f", "t", 1, n) for n in (1, 2, 3, 10, 11)], "field string, term string, n_rows bigint, n_files bigint"), 100).collect()}
     assert marks == {1: "rare", 2: "rare", 3: None, 10: None, 11: "common"}
