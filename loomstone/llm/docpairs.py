@@ -187,33 +187,45 @@ def described(skim: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     placed = symbols.where((F.col("kind") == "METHOD") & (F.col("file_id") >= 0)).select(
         "file_id", F.col("range.start_line").alias("start_line"), F.regexp_extract(tail, r"^([^(]*)", 1).alias("plain"), _key(owner).alias("owner"), _params(tail).alias("params"))
     placed = placed.join(related, "owner", "left_semi").distinct()
-    methods = decls.where(F.col("kind") == "METHOD").select("file_id", "decl_no", "start_line", strip_space(F.col("name")).alias("plain"), "body", "parts", "says", "open")
+    tells = F.when(F.col("says"), F.array_sort(F.map_keys(F.map_filter("parts", lambda _, words: ~F.contains(words, F.lit("\u0002"))))))
+    methods = decls.where(F.col("kind") == "METHOD").select("file_id", "decl_no", "start_line", strip_space(F.col("name")).alias("plain"), "body", "open", tells.alias("tells"))
     methods = methods.join(placed, ["file_id", "start_line", "plain"])
     first = F.min(F.struct("owner", "params", "plain"))  # of several declarations in one place the least
-    methods = cut(methods.groupBy("file_id", "decl_no").agg(first.alias("at"), F.max("body").alias("body"), F.first("parts").alias("parts"), F.max("says").alias("says"), F.max("open").alias("open")).select(
-        "file_id", "decl_no", "at.owner", "at.params", F.xxhash64("at.plain", F.size("at.params")).alias("called"), "body", "parts", "says", "open"))
-    # What an overridden method can give: its sections with words of their own.
-    told = cut(methods.where("says").select("owner", "called", "params", "file_id", "decl_no", F.explode("parts").alias("section", "words")).where(
-        ~F.contains("words", F.lit("\u0002"))).select("owner", "called", "section", F.col("params").alias("theirs"), F.struct(F.col("file_id").alias("f"), F.col("decl_no").alias("n"), "words").alias("from")))
+    methods = cut(methods.groupBy("file_id", "decl_no").agg(first.alias("at"), F.max("body").alias("body"), F.max("open").alias("open"), F.max("tells").alias("tells")).select(
+        "file_id", "decl_no", "at.owner", "at.params", F.xxhash64("at.plain", F.size("at.params")).alias("called"), "body", "open", "tells"))
+    # What an overridden method can give: its sections with words of their own, which stay behind until it is known who takes them.
+    told = methods.join(up.select(F.col("above").alias("owner")).distinct(), "owner", "left_semi")
+    told = cut(told.select(F.col("owner").alias("above"), "called", F.explode("tells").alias("section"), F.col("params").alias("theirs"), F.struct(F.col("file_id").alias("f"), F.col("decl_no").alias("n")).alias("from")))
     wanted = ["file_id", "decl_no", "section"]
-    frontier = methods.where("body").select("file_id", "decl_no", "owner", "called", "params", F.explode("open").alias("section"))
-    seen, answers = frontier.select(*wanted, "owner"), None
+    carried = [*wanted, "owner", "called", "params"]
+    still = methods.where("body").select("file_id", "decl_no", "owner", "called", "params", F.explode("open").alias("section"))
     alike = F.forall(F.arrays_zip("params", "theirs"), lambda p: (p["params"] == p["theirs"]) | p["theirs"].rlike("^[A-Z][A-Z0-9]?$"))
+    offer = F.min(F.when(alike, F.struct((F.col("params") != F.col("theirs")).alias("differs"), "from")))["from"]
+    # The types one level further above each type that has an open section, each met once; then what their methods give.
+    walk, seen, answers = up, None, None
     while True:
-        step = frontier.join(up, "owner").select(*wanted, "called", "params", F.col("above").alias("owner")).distinct().join(seen, [*wanted, "owner"], "left_anti")
-        step = cut(step.join(told, ["owner", "called", "section"], "left").withColumn("from", F.when(alike, F.struct((F.col("params") != F.col("theirs")).alias("differs"), "from"))), rows=F.count(F.lit(1)))
-        if not step.counts["rows"]:
+        walk = walk.join(still.select("owner"), "owner", "left_semi")
+        if seen is not None:
+            walk = walk.withColumnRenamed("above", "via").join(up.select(F.col("owner").alias("via"), "above"), "via").select("owner", "above").where("owner <> above").distinct().join(seen, ["owner", "above"], "left_anti")
+        walk = cut(walk, rows=F.count(F.lit(1)))
+        if not walk.counts["rows"]:
             break
-        hit = step.where(F.col("from").isNotNull()).groupBy(*wanted).agg(F.min("from")["from"].alias("from"))
+        seen = walk if seen is None else seen.unionByName(walk)
+        level = still.join(walk, "owner").join(told, ["above", "called", "section"], "left").groupBy(*carried).agg(offer.alias("from"))
+        level = cut(level, open=F.count_if(F.col("from").isNull()))
+        hit = level.where(F.col("from").isNotNull()).select(*wanted, "from.f", "from.n")
         answers = hit if answers is None else answers.unionByName(hit)
-        seen = seen.unionByName(step.select(*wanted, "owner"))
-        frontier = step.join(hit, wanted, "left_anti").select(*wanted, "owner", "called", "params").distinct()
+        if not level.counts["open"]:
+            break
+        still = level.where(F.col("from").isNull()).select(*carried)
     shown_ = ["file_id", "decl_no", "start_line", "kind", "name"]
     none = F.lit(None).cast("map<string,struct<f:bigint,n:int,words:string>>").alias("given")
     rows = decls.where("body").select(*shown_, "parts", "says")
     if answers is None:
         found = rows.where("says").select("*", none)
     else:
+        words = decls.where("says AND kind = 'METHOD'").select(F.col("file_id").alias("f"), F.col("decl_no").alias("n"), F.explode("parts").alias("section", "words")).where(~F.contains("words", F.lit("\u0002")))
+        answers = answers.join(words, ["f", "n", "section"]).groupBy(*wanted, "f", "n").agg(F.min("words").alias("words")).withColumn("from", F.struct("f", "n", "words"))
         given = answers.groupBy("file_id", "decl_no").agg(F.map_from_entries(F.collect_list(F.struct("section", "from"))).alias("given"))
         found = rows.join(given, ["file_id", "decl_no"], "left").where("says OR given IS NOT NULL")
     return found.mapInPandas(_assemble, "file_id bigint, decl_no int, start_line int, kind string, name string, description string, origin string, source string").distinct()

@@ -15,8 +15,9 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The pairs whose description is the declaration's own, which its first step decides."""
-    return docpairs.speaking(table(spark, sf, "skim_decls"))
+    """The pairs whose own documentation says something, out of all that ``docpairs.described`` resolves."""
+    found = docpairs.described(table(spark, sf, "skim_decls"), table(spark, sf, "symbols"), table(spark, sf, "edges"))
+    return found.where(F.col("origin") == "own").select("file_id", "start_line").distinct()
 
 
 def p3_terms(spark: SparkSession, sf: str) -> DataFrame:

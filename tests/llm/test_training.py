@@ -88,6 +88,37 @@ def test_inherited_sections(spark):
     assert {r["file_id"] for r in docpairs.speaking(spark.createDataFrame(skim * 2, SKIM)).collect()} == {2}
 
 
+def test_found_resolves_inherited_documentation(spark, tmp_path, monkeypatch):
+    """p1_found chooses from what all steps resolve; a hierarchy with loops and several parents gives what a search by level gives."""
+    rnd = random.Random(5)
+    n = 30
+    up = {t: {rnd.randrange(1, n + 1) for _ in range(rnd.choice([0, 1, 1, 2]))} for t in range(1, n + 1)}
+    doc = {t: rnd.choice([None, None, "/** {@inheritDoc} */", f"/** Never blocks reader {'abcdefghij'[t % 10] * 3}{'klm'[t // 10 % 3] * 3}. */"]) for t in up}
+    body = {t: rnd.choice(["x();", "x();", " // none\n", None]) for t in up}
+    skim = [(t, 1, 0, "METHOD", "m", doc[t], 2, "void m(int slot)", 3, 5, body[t], True, "clash") for t in up]
+    symbols = [(f"p/T{t}#m(int).", "METHOD", 0, f"p/T{t}#", t, (3, 1, 5, 1), "m", None) for t in up]
+    edges = [(f"p/T{a}#", f"p/T{b}#", "EXTENDS", "hierarchy", None, None) for a in up for b in up[a]]
+    for name, rows, schema in (("skim_decls", skim * 2, SKIM), ("symbols", symbols * 2, SYMBOLS), ("edges", edges * 2, EDGES)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    speaks = {t for t in up if doc[t] and "Never" in doc[t]}
+    want = set()
+    for t in up:
+        level, seen = {t}, {t}
+        while level and not level & speaks:
+            level = {b for a in level for b in up[a]} - seen
+            seen |= level
+        if level and body[t] == "x();":
+            at = min(level & speaks)
+            want.add((t, "own" if at == t else "inherited", None if at == t else f"{at}:1", doc[at][4:-3]))
+    resolved, described = [], docpairs.described
+    monkeypatch.setattr(docpairs, "described", lambda *tables: resolved.append(described(*tables)) or resolved[-1])
+    found = sorted(tuple(r) for r in llm.p1_found(spark, str(tmp_path)).collect())
+    assert len(resolved) == 1  # the query went through every step
+    got = sorted(tuple(r) for r in resolved[0].select("file_id", "origin", "source", "description").collect())
+    assert got == sorted(want) and {o for _, o, _, _ in got} == {"own", "inherited"}
+    assert found == [(t, 3) for t, origin, _, _ in got if origin == "own"]
+
+
 # ---- p3
 
 
